@@ -44,3 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint: the rows are written to the shared folder and survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers of a local session find this package wherever the driver was started; a cluster has it installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH") or ""
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
