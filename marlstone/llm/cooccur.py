@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import numbered
 from marlstone.session import cut
 
 MAX_ITEMS = 50
@@ -50,24 +51,6 @@ def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([code], pa.int64()), pa.array([count], pa.int64())], ["code", "k"])
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Add `num`, the place of each row in the given order, from 0: a range sort, then offsets of the partitions."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftright("_place", 33)
-    sizes = sorted((r["p"], r["n"]) for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
-    offsets, total = [], 0
-    for p, n in sizes:
-        offsets += [F.lit(p), F.lit(total)]
-        total += n
-    if not offsets:
-        return ordered.withColumn("num", F.lit(0).cast("long")).drop("_place")
-    if total >= 1 << 31:
-        raise ValueError("more than 2^31 frequent items; raise the least count")
-    start = F.element_at(F.create_map(*offsets), part)
-    return ordered.withColumn("num", (start + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_place")
-
-
 def baskets(df: DataFrame, group: str, key: str, items: Column, max_items: int = MAX_ITEMS) -> DataFrame:
     """(group, key, items): one row per basket with 1 to `max_items` distinct items."""
     own = F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))

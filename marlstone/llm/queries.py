@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
-from marlstone.llm import cooccur
+from marlstone.llm import cooccur, packing, splitting
 from marlstone.registry import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,33 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p6_pairs", _P6 + "SELECT repo_id, path_a, path_b, k, a, b, n, round(k * n / (a * b), 6) AS lift, round((k + 0.5) * (n - a - b + k + 0.5) / ((a - k + 0.5) * (b - k + 0.5)), 6) AS odds_ratio FROM r")
 def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cooccur.commit_pairs(table(spark, sf, "commits")).withColumns({c: F.round(c, 6) for c in ("lift", "odds_ratio")})
+
+
+_TOKEN_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("p7_found", f"SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_TOKEN_SQL}')) > 1024")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf, "documents"))
+    return packed.where(F.col("pieces") > 1).select(F.col("id").alias("doc_id")).distinct()
+
+
+@query("p7_containers")
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "p9_found",
+    rf"""WITH p AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\r?\n(?:[ \t]*\r?\n)+'),
+           lambda x: len(regexp_extract_all(x, '{_TOKEN_SQL}')) > 0)) AS t, generate_subscripts(list_filter(regexp_split_to_array(text, '\r?\n(?:[ \t]*\r?\n)+'),
+           lambda x: len(regexp_extract_all(x, '{_TOKEN_SQL}')) > 0), 1) AS para_no FROM documents WHERE text IS NOT NULL)
+    SELECT DISTINCT doc_id, para_no FROM p WHERE len(regexp_extract_all(t, '{_TOKEN_SQL}')) > 256""",
+)
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.paragraphs(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "para_no")
+
+
+@query("p9_pieces")
+def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
