@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
-from marlstone.llm import cooccur, packing, splitting
+from marlstone.llm import cooccur, packing, pairs, splitting
 from marlstone.registry import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p9_pieces")
 def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(table(spark, sf, "retrieval_llm_calls")).withColumnRenamed("id", "call_id")
