@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
-from marlstone.llm import cooccur, packing, pairs, splitting
+from marlstone.llm import cooccur, natural, packing, pairs, splitting
 from marlstone.registry import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,17 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
 @query("p5_found")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.defects(table(spark, sf, "retrieval_llm_calls")).withColumnRenamed("id", "call_id")
+
+
+def _sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf, "files"), table(spark, sf, "source_texts")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return natural.lines(*_sources(spark, sf), table(spark, sf, "inline_comments"))
+
+
+@query("p3_shares")
+def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return natural.shares(*_sources(spark, sf), table(spark, sf, "inline_comments"))
