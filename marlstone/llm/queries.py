@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
-from marlstone.llm import cooccur, natural, packing, pairs, splitting
+from marlstone.llm import cooccur, functions, natural, packing, pairs, splitting
 from marlstone.registry import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p3_shares")
 def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
     return natural.shares(*_sources(spark, sf), table(spark, sf, "inline_comments"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return functions.pairs(table(spark, sf, "symbols"), table(spark, sf, "docstrings"), *_sources(spark, sf)).select("symbol_id", "docstring_id").distinct()
+
+
+@query("p2_documented")
+def p2_documented(spark: SparkSession, sf: str) -> DataFrame:
+    return functions.documented(*_sources(spark, sf))
