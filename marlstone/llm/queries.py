@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
-from marlstone.llm import cooccur, functions, natural, packing, pairs, splitting
+from marlstone.llm import cooccur, functions, natural, packing, pairs, provenance, splitting
 from marlstone.registry import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p2_documented")
 def p2_documented(spark: SparkSession, sf: str) -> DataFrame:
     return functions.documented(*_sources(spark, sf))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.not_hand_written(*_sources(spark, sf)).select("file_id")
+
+
+@query("p4_reasons")
+def p4_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.not_hand_written(*_sources(spark, sf))
