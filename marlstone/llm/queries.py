@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
-from marlstone.llm import cooccur, functions, natural, packing, pairs, provenance, splitting
+from marlstone.llm import cooccur, functions, leaks, natural, packing, pairs, provenance, splitting
 from marlstone.registry import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,19 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p4_reasons")
 def p4_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.not_hand_written(*_sources(spark, sf))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+@query("p8_leaked_items")
+def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    found = leaks.find(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max(F.round(F.col("held") / F.col("words"), 6)).alias("most_held"))
+
+
+@query("p8_clean")
+def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.clean(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id")
