@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
-from marlstone.llm import cooccur, functions, leaks, natural, packing, pairs, provenance, splitting
+from marlstone.llm import cooccur, functions, leaks, natural, packing, pairs, parsing, provenance, splitting
 from marlstone.registry import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,13 @@ def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
 @query("p8_clean")
 def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.clean(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return parsing.broken(*_sources(spark, sf))
+
+
+@query("p1_rates")
+def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return parsing.rates(*_sources(spark, sf), table(spark, sf, "index_runs"))
