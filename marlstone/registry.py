@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from marlstone.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+AREAS = ("index",)
 
 
 def prepared(f):
@@ -38,6 +40,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-
-
-load()
+    for area in AREAS:
+        importlib.import_module(f"marlstone.queries.{area}")
