@@ -32,7 +32,7 @@ from marlstone.session import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 24, 5
 MIN_SHINGLES = 30
 LONG_LINE = 250
 
@@ -189,7 +189,7 @@ def _bands(h: np.ndarray) -> list[int]:
         x = h[None, :] * _SEEDS[:, :1] + _SEEDS[:, 1:]
         x ^= x >> np.uint64(31)
         low = (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=1).reshape(BANDS, ROWS)
-        keys = (low * np.array([1, 0x100000001B3, 0xC2B2AE3D27D4EB4F], np.uint64)).sum(axis=1, dtype=np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(58))
+        keys = (low * np.array([1, 0x100000001B3, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)).sum(axis=1, dtype=np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(58))
     return keys.view(np.int64).tolist()
 
 
