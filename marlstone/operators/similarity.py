@@ -36,21 +36,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def similar_pairs(symbols: DataFrame, block: list[str], least: float = 0.3) -> DataFrame:
-    """(a, b, score, signals): pairs of the same block with 0.3 lines + 0.35 callees + 0.2 names + 0.15 parents >= least.
+def pair_signals(symbols: DataFrame, block: list[str]) -> DataFrame:
+    """(a, b, na, nb, line_ratio, callees, same_parent) of pairs a < b of the same block; a missing parent equals nothing.
 
-    `symbols` has id, name, lines, callees (array), parent. The block columns (a kind and a small scope) keep the number
-    of pairs in check; a missing parent equals nothing. The cheap signals are tried first: a pair that can't reach `least`
-    with equal names isn't compared letter by letter.
+    `symbols` has id, name, lines, callees (array), parent. The block columns (a kind and a small scope) are the join keys
+    and keep the number of pairs in check.
     """
     x, y = symbols.alias("x"), symbols.alias("y")
     pairs = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in block] + [F.col("x.id") < F.col("y.id")])
     lines = F.least("x.lines", "y.lines") / F.greatest("x.lines", "y.lines")
-    pairs = pairs.select(
+    return pairs.select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.name").alias("na"), F.col("y.name").alias("nb"), lines.alias("line_ratio"),
         jaccard(F.col("x.callees"), F.col("y.callees")).alias("callees"), F.coalesce((F.col("x.parent") == F.col("y.parent")).cast("double"), F.lit(0.0)).alias("same_parent"),
     )
+
+
+def similar_pairs(symbols: DataFrame, block: list[str], least: float = 0.3) -> DataFrame:
+    """(a, b, signals, score): pairs with 0.3 lines + 0.35 callees + 0.2 names + 0.15 parents >= least.
+
+    The cheap signals are tried first: a pair that can't reach `least` with equal names isn't compared letter by letter.
+    """
     without = 0.3 * F.col("line_ratio") + 0.35 * F.col("callees") + 0.15 * F.col("same_parent")
-    pairs = pairs.where(without + 0.2 >= least).withColumn("name_lcs", lcs_ratio(F.col("na"), F.col("nb")))
-    score = 0.3 * F.col("line_ratio") + 0.35 * F.col("callees") + 0.2 * F.col("name_lcs") + 0.15 * F.col("same_parent")
-    return pairs.withColumn("score", score).where(F.col("score") >= least).drop("na", "nb")
+    pairs = pair_signals(symbols, block).where(without + 0.2 >= least).withColumn("name_lcs", lcs_ratio(F.col("na"), F.col("nb")))
+    return pairs.withColumn("score", without + 0.2 * F.col("name_lcs")).where(F.col("score") >= least).drop("na", "nb")
