@@ -1,14 +1,12 @@
-"""Tokens and numbering shared by the operators."""
+"""Tokens shared by the operators."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.session import cut
-
 #: The public WordPunct tokenizer.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 # Python's \w and \s spelled out for Java and RE2: letters, numbers and _; white space as str.isspace() has it.
@@ -20,22 +18,3 @@ TOKEN_PATTERN = rf"[{_WORD}]+|[^{_WORD}{_SPACE}]+"
 def token_count(text: Column) -> Column:
     """Number of WordPunct tokens, counted in the JVM; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN_PATTERN)), F.lit(0)).cast("long")
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Add `num`, the place of each row in the given order, from 0: a range sort, then the offsets of its partitions.
-
-    A hot leading key is no hot task as long as the later keys differ: ranges are cut by the whole key.
-    """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftright("_place", 33)
-    sizes = sorted((r["p"], r["n"]) for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
-    offsets, total = [], 0
-    for p, n in sizes:
-        offsets += [F.lit(p), F.lit(total).cast("long")]
-        total += n
-    if not offsets:
-        return ordered.withColumn("num", F.lit(0).cast("long")).drop("_place")
-    start = F.element_at(F.create_map(*offsets), part)
-    return ordered.withColumn("num", (start + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_place")

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import numbered, token_count
+from marlstone.llm.common import token_count
+from marlstone.operators.numbering import numbered
 from marlstone.session import cut
 
 CAPACITY = 1024
