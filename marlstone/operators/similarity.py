@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the classic table, inside the JVM."""
-    bs = F.split(b, "")
-    zero = F.transform(bs, lambda _: F.lit(0))
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence: one row of the classic table is one integer, a bit per letter of `a`."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        hit = row & where.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
-    def row(prev: Column, x: Column) -> Column:
-        step = lambda acc, y: F.struct(
-            F.concat(acc["out"], F.array(F.when(y["c"] == x, acc["diag"] + 1).otherwise(F.greatest(y["up"], acc["left"])))).alias("out"),
-            y["up"].alias("diag"),
-            F.when(y["c"] == x, acc["diag"] + 1).otherwise(F.greatest(y["up"], acc["left"])).alias("left"),
-        )
-        pairs = F.zip_with(bs, prev, lambda c, u: F.struct(c.alias("c"), u.alias("up")))
-        start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("diag"), F.lit(0).alias("left"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
-    table = F.aggregate(F.split(a, ""), zero, row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.array_max(table))
-
-
-def lcs_ratio(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(lcs_length(a, b) / longest)
+@F.pandas_udf(T.DoubleType())
+def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence over the longer length; 0 where both are empty or one is null."""
+    return pd.Series([lcs(x, y) / max(len(x), len(y)) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -76,7 +76,7 @@ def g5(s, d):
     return scope.expand_scope(plan, seeds, edges(s, d), co_changes(tracked, "commit_id", "file_id"), f.select("file_id", F.col("path").alias("concepts")), words)
 
 
-@query("g6_first_fit", None)
+@query("g6_first_fit")
 def g6(s, d):
     docs = table(s, d, "documents").where("repo_id is not null").select("repo_id", "doc_id", "created_at", assemble.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
     return assemble.first_fit(docs, "repo_id", ["created_at", "doc_id"], "doc_id", "tokens", F.lit(4096))
@@ -98,7 +98,7 @@ def g7(s, d):
 @query(
     "g8_similar_signals",
     f"""WITH {SYMBOLS}, k AS (SELECT parent_symbol_id AS pid, list_sort(list(DISTINCT name)) AS callees FROM s WHERE parent_symbol_id IS NOT NULL GROUP BY 1), x AS (SELECT s.id, s.file_id, s.kind, s.end_line - s.start_line + 1 AS lines, coalesce(callees, []) AS callees, parent_symbol_id AS parent FROM s LEFT JOIN k ON k.pid = s.id WHERE kind IN ('function', 'method'))
-    SELECT a.id AS a, b.id AS b, round(least(a.lines, b.lines) / greatest(a.lines, b.lines), 6) AS line_ratio, CASE WHEN a.parent = b.parent THEN 1.0 ELSE 0.0 END AS same_parent FROM x a JOIN x b ON a.file_id = b.file_id AND a.kind = b.kind AND a.id < b.id
+    SELECT a.id AS a, b.id AS b, round(least(a.lines, b.lines) / greatest(a.lines, b.lines), 6) AS line_ratio, CAST(CASE WHEN a.parent = b.parent THEN 1 ELSE 0 END AS DOUBLE) AS same_parent FROM x a JOIN x b ON a.file_id = b.file_id AND a.kind = b.kind AND a.id < b.id
     WHERE 0.3 * least(a.lines, b.lines) / greatest(a.lines, b.lines) + 0.15 * CASE WHEN a.parent = b.parent THEN 1.0 ELSE 0.0 END + 0.35 * CASE WHEN len(list_distinct(list_concat(a.callees, b.callees))) = 0 THEN 0.0 ELSE len(list_intersect(a.callees, b.callees)) / len(list_distinct(list_concat(a.callees, b.callees))) END >= 0.4""",
 )
 def g8s(s, d):
