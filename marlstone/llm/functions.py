@@ -94,6 +94,9 @@ def python_tokens(text: str) -> list[Token]:
             arrow = re.compile(r"\s*(?:->[^\n]*?)?:(?=\s|$)", re.S).match(code, close) if close > 0 else None
             colon = arrow.end() - 1 if arrow else colon
             out.append((begin, line, "head", 0, m[1], " ".join(text[begin : colon + 1 if colon > 0 else stop].split())))
+            if colon > 0 and code[colon + 1 : stop if colon < stop else code.find("\n", colon) if "\n" in code[colon:] else len(code)].strip():  # the body is on the head's last line
+                last = line + code.count("\n", begin, colon)
+                out += [(begin + 1, last, "open", 1, None, None), (begin + 2, last, "close", -1, None, None)]
         else:
             out.append((start, line, "code", 0, None, None))
         depth = max(0, depth + sum(raw.count(c) for c in "([{") - sum(raw.count(c) for c in ")]}"))
@@ -107,7 +110,7 @@ def brace_tokens(language: str, text: str) -> list[Token]:
     breaks = [i for i, c in enumerate(code) if c == "\n"]
     line = lambda at: bisect_left(breaks, at) + 1
     out: list[Token] = [(sp.start, line(sp.start), "doc", 0, None, sp.body) for sp in found if sp.kind == "doc"]
-    heads = {}
+    heads, inside = {}, []
     for m in _BRACE_HEAD[language].finditer(code):
         name = m["c"] or m["a"] if language == "c" else m["a"] or m["b"] or m["c"]
         if language == "c" and re.search(r"\b(?:return|else|typedef|goto|case)\b", m["a"]):
@@ -121,11 +124,16 @@ def brace_tokens(language: str, text: str) -> list[Token]:
         if language != "c" and m["b"] and "=>" not in code[close : tail.end() + 2] and "function" not in m[0]:
             continue
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
+        inside.append((m.end() - 1, tail.end()))
         heads[begin] = (begin, line(begin), "head", 0, name, " ".join(text[begin : tail.end()].split()))
     out += heads.values()
+    inside.sort()
     last = -1
     for m in re.finditer(r"[{}]|[^\s{}][^{}\n]*", code):
         c = m.group()
+        k = bisect_left(inside, (m.start() + 1,)) - 1
+        if c in "{}" and k >= 0 and m.start() < inside[k][1]:
+            continue  # a brace among parameters or in a result's type
         if c == "{":
             out.append((m.start(), line(m.start()), "open", 1, None, None))
         elif c == "}":

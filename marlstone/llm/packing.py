@@ -27,7 +27,8 @@ from marlstone.session import cut
 
 CAPACITY = 1024
 ROUNDS = 400
-SHARE = 0.5
+SHARE = 0.1
+LEARN = 1.0
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), descending
 
@@ -98,7 +99,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS
             step = share * float((have[ix] / a).min())
             part[pattern] += step
             covered[ix] += step * a / have[ix]
-            weights[ix] *= np.exp(-0.02 * step * a / have[ix])
+            weights[ix] *= np.exp(-LEARN * step * a / have[ix])
             if covered.min() >= 1:
                 break
         over = max(1.0, float((covered * have * lengths).sum() / (have * lengths).sum()))
