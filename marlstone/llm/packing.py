@@ -76,17 +76,46 @@ def _fullest(left: dict[int, int], capacity: int) -> Pattern:
     return tuple(sorted(found.items(), reverse=True))
 
 
+def _filled(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """Containers for all of `counts`: the fullest one at a time, as often as it can be repeated, at last by best fit."""
+    used: Counter[Pattern] = Counter()
+    left = {k: v for k, v in counts.items() if v}
+    while sum(left.values()) > 2 * capacity:
+        pattern = _fullest(left, capacity)
+        n = min(left[k] // a for k, a in pattern)
+        used[pattern] += n
+        for k, a in pattern:
+            left[k] -= n * a
+            if not left[k]:
+                del left[k]
+    rooms: list[tuple[int, int]] = []  # (room, which), sorted
+    boxes: list[list[int]] = []
+    for k in sorted(left, reverse=True):
+        for _ in range(left[k]):
+            at = bisect.bisect_left(rooms, (k, -1))
+            if at == len(rooms):
+                boxes.append([k])
+                bisect.insort(rooms, (capacity - k, len(boxes) - 1))
+            else:
+                room, which = rooms.pop(at)
+                boxes[which].append(k)
+                bisect.insort(rooms, (room - k, which))
+    for box in boxes:
+        used[tuple(sorted(Counter(box).items(), reverse=True))] += 1
+    return used
+
+
 def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, share: float = SHARE) -> tuple[list[tuple[Pattern, int]], float]:
     """Patterns with how often each is used, covering exactly `counts`; and a lower bound on the number of containers.
 
     A round adds the pattern of greatest worth as often as brings its scarcest length a `share` further. The bound is the
-    best feasible dual seen: worths divided by the worth of the best pattern.
+    best feasible dual seen: worths divided by the worth of the best pattern. The rounded solution is kept unless filling
+    alone, without it, needs fewer containers; both cost what the histogram costs.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v > 0 and k > 0}
     used: Counter[Pattern] = Counter()
-    if capacity in counts:
-        used[((capacity, 1),)] = counts.pop(capacity)
-    full, left, bound = sum(used.values()), dict(counts), 0.0
+    full = counts.pop(capacity, 0)
+    left, bound = dict(counts), 0.0
     if counts:
         lengths = np.array(sorted(counts))
         have = np.array([counts[x] for x in lengths], float)
@@ -109,31 +138,10 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS
                 used[pattern] += n
                 for k, a in pattern:
                     left[k] -= n * a
-    left = {k: v for k, v in left.items() if v}
-    while sum(left.values()) > 2 * capacity:
-        pattern = _fullest(left, capacity)
-        n = min(left[k] // a for k, a in pattern)
-        used[pattern] += n
-        for k, a in pattern:
-            left[k] -= n * a
-            if not left[k]:
-                del left[k]
-    rooms: list[tuple[int, int]] = []  # (room, which), sorted
-    open_: list[list[int]] = []
-    for k in sorted(left, reverse=True):
-        for _ in range(left[k]):
-            at = bisect.bisect_left(rooms, (k, -1))
-            if at == len(rooms):
-                open_.append([k])
-                bisect.insort(rooms, (capacity - k, len(open_) - 1))
-            else:
-                room, which = rooms.pop(at)
-                open_[which].append(k)
-                bisect.insort(rooms, (room - k, which))
-    for box in open_:
-        used[tuple(sorted(Counter(box).items(), reverse=True))] += 1
+    best = min((used + _filled(left, capacity), _filled(counts, capacity)), key=lambda u: sum(u.values()))
+    best[((capacity, 1),)] += full
     total = sum(k * v for k, v in counts.items())
-    return list(used.items()), full + max(bound, total / capacity)
+    return list((+best).items()), full + max(bound, total / capacity)
 
 
 def _slots(used: list[tuple[Pattern, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
