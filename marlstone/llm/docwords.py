@@ -36,53 +36,61 @@ _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
 def stem(w: str) -> str:
+    """A word without the ending of a number or tense, then without that of an agent."""
     w = w.lower()
-    for a, b in (("ies", "y"), ("ied", "y"), ("ying", "y"), ("ing", ""), ("ed", ""), ("es", ""), ("s", ""), ("e", ""), ("er", ""), ("or", "")):
+    for a, b in (("ies", "y"), ("ied", "y"), ("ying", "y"), ("ing", ""), ("ed", ""), ("es", ""), ("s", "")):
         if w.endswith(a) and len(w) - len(a) >= 3:
             w = w[: -len(a)] + b
             break
-    if len(w) > 3 and w[-1] == w[-2]:
-        w = w[:-1]
-    return w[:-1] if w.endswith(("e", "y")) and len(w) > 3 else w
+    while a := next((a for a in ("er", "or", "e", "y") if w.endswith(a) and len(w) - len(a) >= 3), None):
+        w = w[: -len(a)]
+    return w[:-1] if len(w) > 3 and w[-1] == w[-2] else w
 
 
 def name_words(*names: str | None) -> set[str]:
     return {stem(p) for n in names if n for p in _CAMEL.findall(re.sub(r"[^\w]", " ", n))} | {n.lower() for n in names if n}
 
 
-def phrases(content: str) -> list[tuple[str, str]]:
-    """(what, text): the free text of a documentation comment, and the descriptions of its tags and sections."""
-    out: list[tuple[str, str]] = []
+def phrases(content: str) -> list[tuple[str, str, str]]:
+    """(what, text, of): the free text of a documentation comment, and the descriptions of its tags and sections with the
+    parameter each is about."""
+    out: list[tuple[str, str, str]] = []
     section, lines = "", re.sub(r"\r\n?", "\n", content).split("\n")
+    about = ""
     for k, raw in enumerate(lines):
         line = re.sub(r"^\s*(?:/\*\*?|\*/|\*(?!\*))\s?", "", raw).rstrip()
         line = re.sub(r"\*/\s*$", "", line)
         if not line.strip() or _RULE.match(line):
             continue
         if m := _TAGS.match(line):
-            section = ""
+            section, about = "", ""
             rest = re.sub(r"^\{[^}]*\}+\s*", "", m["rest"])
             tag = m["tag"].lower()
             if line.lstrip()[0] == ":":
                 head, _, rest = rest.partition(":") if not rest.startswith(":") else ("", "", rest[1:])
+                about = head.split()[-1] if head.split() else ""
                 if tag in ("type", "rtype"):
                     continue
             elif tag in ("param", "parameter", "arg", "argument", "key", "keyword", "throws", "throw", "raises", "raise", "exception", "property", "prop", "var", "template", "type"):
-                rest = re.sub(r"^\[?[\w$.]+(?:=[^\]]*)?\]?\s*[-–:]?\s*", "", rest, count=1)
-            out.append((tag, rest))
+                named = re.match(r"^\[?([\w$.]+)(?:=[^\]]*)?\]?\s*[-–:]?\s*", rest)
+                if named:
+                    about, rest = named[1], rest[named.end() :]
+            out.append((tag, rest, about))
             continue
         if (m := _SECTION.match(line)) and (line.rstrip().endswith(":") or k + 1 < len(lines) and _RULE.match(lines[k + 1])):
-            section = m["s"].lower()
+            section, about = m["s"].lower(), ""
             continue
         if section:
-            if not re.match(r"^\s", line) and k and not (m := re.match(r"^[\w*]+\s*:\s*\S*", line)) and not re.match(r"^[\w\[\], .]{1,40}$", line):
+            if not re.match(r"^\s", line) and k and not re.match(r"^[\w*]+\s*:\s*\S*", line) and not re.match(r"^[\w\[\], .]{1,40}$", line):
                 section = ""
-                out.append(("text", line))
+                out.append(("text", line, ""))
                 continue
-            m = re.match(r"^\s*\*{0,2}[\w$.]+\s*(?:\([^)]*\))?\s*:\s*(.*)$", line)
-            out.append((section, m[1] if m else line))
+            m = re.match(r"^\s*\*{0,2}([\w$.]+)\s*(?:\([^)]*\))?\s*:\s*(.*)$", line)
+            if m:
+                about = m[1]
+            out.append((section, m[2] if m else line, about))
             continue
-        out.append(("text", line))
+        out.append(("text", line, about))
     return out
 
 
@@ -93,7 +101,8 @@ def says_something(content: str | None, name: str | None, signature: str | None)
     known = name_words(name) | name_words(*re.findall(r"[A-Za-z_$][\w$]*", signature or ""))
     if name and re.fullmatch(r"\W*" + re.escape(name) + r"\W*(?:\([^)]*\))?\W*", content):
         return False
-    for _, text in phrases(content):
+    for _, text, of in phrases(content):
+        here = known | name_words(of) if of else known
         text = re.sub(r"`([^`]*)`", r"\1", text)
         cjk = re.sub(r"[\x00-⹿\s]", "", text)
         if len(cjk) >= 2 and (langid._HAN.search(cjk) or langid._KANA.search(cjk)):
@@ -107,7 +116,7 @@ def says_something(content: str | None, name: str | None, signature: str | None)
         for w in words:
             lw = w.lower()
             parts = [stem(p) for p in _CAMEL.findall(w)] or [stem(w)]
-            if lw in FILLER or all(p in known for p in parts) or stem(w) in known or lw in known:
+            if lw in FILLER or all(p in here for p in parts) or stem(w) in here or lw in here:
                 continue
             left.append(lw)
         if left and not all(w in PLACEHOLDER or langid.fold(w) in PLACEHOLDER for w in left):
