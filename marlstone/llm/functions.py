@@ -172,9 +172,9 @@ def extract(files: DataFrame, texts: DataFrame) -> DataFrame:
     # the first of its level after it: heads, openings and closings of level depth + 1 stand in one order.
     level = F.when(F.col("kind") == "open", F.col("depth")).otherwise(F.col("depth") + 1)
     marks = rows.where(F.col("kind").isin("head", "open", "close")).withColumn("level", level)
-    # The body is the last opening of the level before the next head or closing of it: parameters may have braces too.
-    at = Window.partitionBy("file_id", "level").orderBy("pos")
-    ended = marks.withColumn("end_line", F.min(F.when(F.col("kind") == "close", F.struct("pos", "line"))).over(at.rowsBetween(1, Window.unboundedFollowing))["line"])
+    # Looking ahead is a running frame over the reverse order: linear, however many rows a level has.
+    ahead = Window.partitionBy("file_id", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    ended = marks.withColumn("end_line", F.last(F.when(F.col("kind") == "close", F.col("line")), ignorenulls=True).over(ahead))
     doc = F.when(F.col("language") == "python", F.when((F.col("after") == "open") & (F.col("after2") == "doc"), F.col("doc_after2"))).otherwise(F.when(F.col("before") == "doc", F.col("doc_before")))
     return ended.where((F.col("kind") == "head") & F.col("end_line").isNotNull()).select("file_id", "name", F.col("line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("body").alias("signature"), doc.alias("doc"))
 
