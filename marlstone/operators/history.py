@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,7 +13,8 @@ def co_changes(tracked: DataFrame, commit: str, item: str, max_items: int = 50,
     shuffled. Items seen in fewer than `min_count` commits can't be in a pair that counts and are left out first.
     """
     rows = tracked.select(commit, item).distinct()
-    sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy(commit))).where(F.col("_n").between(2, max_items)).drop("_n")
+    fit = rows.groupBy(commit).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, max_items)).select(commit)
+    sized = rows.join(fit, commit, "left_semi")  # counted first: a giant commit is never gathered anywhere
     often = sized.groupBy(item).agg(F.count("*").alias("_c")).where(F.col("_c") >= min_count).select(item)
     arrays = sized.join(often, item, "left_semi").groupBy(commit).agg(F.sort_array(F.collect_list(item)).alias("items"))
     pairs = F.expr("flatten(transform(items, (x, i) -> transform(slice(items, i + 2, size(items)), y -> struct(x as a, y as b))))")
