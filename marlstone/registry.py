@@ -12,7 +12,7 @@ from marlstone.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-AREAS = ("index", "text", "graph", "sources")
+AREAS = ("index", "text", "graph", "sources", "more")
 
 
 def prepared(f):

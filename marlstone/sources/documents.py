@@ -142,3 +142,28 @@ def html_sections(df: DataFrame, id_col: str, html: str) -> DataFrame:
 
 
 REGISTRY = {"markdown": headed_sections, "rules": rule_list, "html": html_sections}
+
+
+def book_sections(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, path, title, start_line, end_line): chapters, appendices and numbered sections of a book's plain text.
+
+    A line is a heading where the line before is blank (lag) and it reads `CHAPTER n: Title`, `Appendix A: Title` or `n.m Title`;
+    lines with dot leaders belong to a table of contents. The first heading of a path counts; its extent ends where the next
+    heading starts (lead), the last one's with the text.
+    """
+    own = Window.partitionBy("id").orderBy("no")
+    pat = r"(?i)^\s*(?:chapter\s+(\d+)|appendix\s+([A-Z])|(\d+(?:\.\d+)+))\s*[:.\-]?\s+(\S.{0,80}?)\s*$"
+    rows = lines(df, id_col, text).withColumn("before", F.lag("line").over(own)).withColumn("last", F.max("no").over(Window.partitionBy("id")))
+    heads = rows.where(F.col("line").rlike(pat) & ~F.col("line").rlike(r"\.{3,}|(?:\. ){3,}") & (F.col("before").isNull() | (F.trim("before") == "")))
+    g = lambda k: F.nullif(F.regexp_extract("line", pat, k), F.lit(""))
+    path = F.coalesce(F.concat(F.lit("chapter_"), g(1)), F.concat(F.lit("appendix_"), F.lower(g(2))), F.translate(g(3), ".", "_"))
+    named = heads.select("id", "no", "last", path.alias("path"), F.btrim(F.regexp_extract("line", pat, 4)).alias("title"))
+    first = named.groupBy("id", "path").agg(F.min_by(F.struct("no", "last", "title"), "no").alias("r")).select("id", "path", "r.*")
+    return first.select("id", "path", "title", F.col("no").alias("start_line"), (F.coalesce(F.lead("no").over(own) - 1, F.col("last"))).alias("end_line"))
+
+
+def bridge(sections: DataFrame, source: str, repo_id: int) -> dict[str, DataFrame]:
+    """Three projections of sections (path, title, content): the sections, their files `kb/<source>/<path>`, and the files' metadata."""
+    path = F.concat(F.lit(f"kb/{source}/"), "path")
+    files = sections.select(F.lit(repo_id).cast("long").alias("repo_id"), path.alias("path"), F.lit("text").alias("language"), F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("long").alias("size_bytes"), F.lit("knowledge_base").alias("file_source"))
+    return {"sections": sections, "files": files, "metadata": sections.select(path.alias("path"), F.col("title").alias("purpose"), F.lit(source).alias("module"))}
