@@ -24,13 +24,16 @@ from marlstone.llm.docwords import says_something
 from marlstone.llm.lexing import spans
 
 _PY_HEAD = re.compile(r"(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*(?:\[[^\]\n]*\])?\(")
-_BRACE_HEAD = {
-    "javascript": re.compile(
-        r"(?:\b(?:export\s+(?:default\s+)?)?(?:async\s+)?function\b\s*\*?\s*(?P<a>[\w$]+)\s*\(|\b(?:export\s+)?(?:const|let|var)\s+(?P<b>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*\s*)?\(|(?:^|(?<=[{};\n]))[ \t]*(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*\*?(?P<c>(?!(?:if|for|while|switch|catch|return|function|with|await|new|typeof|else|do|super|import|throw|yield)\b)[\w$#]+)\s*(?:<[^()\n]*>)?\()"
-    ),
-    "c": re.compile(r"(?:^|(?<=[;}\n]))[ \t]*(?P<a>(?:[A-Za-z_]\w*[\s*]+)+?)(?P<c>[A-Za-z_]\w*)\s*\("),
-}
-_BRACE_HEAD["typescript"] = _BRACE_HEAD["javascript"]
+# Where a statement or member may start, and the heads that start there; functions by their keyword are found anywhere.
+_STARTS = re.compile(r"[;{}\n]")
+_JS_FUNCTION = re.compile(r"function\b\s*\*?\s*(?P<a>[\w$]+)\s*\(")
+_JS_BEFORE = re.compile(r"(?:\bexport\s+(?:default\s+)?)?(?:\basync\s+)?\Z")
+_JS_HEAD = re.compile(
+    r"[ \t]*(?:(?:export\s+)?(?:const|let|var)\s+(?P<b>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*\s*)?\(|(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*\*?(?P<c>(?!(?:if|for|while|switch|catch|return|function|with|await|new|typeof|else|do|super|import|throw|yield)\b)[\w$#]+)\s*(?:<[^()\n]*>)?\()"
+)
+_C_HEAD = re.compile(r"[ \t]*(?P<a>(?:[A-Za-z_]\w*[\s*]+)+?)(?P<c>[A-Za-z_]\w*)\s*\(")
+_C_TAIL = re.compile(r"\s*(?=\{)")
+_BRACKET = re.compile(r"[()\[\]{}]")
 _TYPE_TAIL = re.compile(r"\s*(?::\s*[^={;]+?(?:\{[^{}]*\}[^={;]*?)?)?\s*(?:=>\s*)?(?=\{|=>)", re.S)
 
 
@@ -56,13 +59,25 @@ def _closing(text: str, at: int) -> int:
     return -1
 
 
+def _nesting(line: str) -> int:
+    return sum(1 if c in "([{" else -1 for c in _BRACKET.findall(line))
+
+
 Token = tuple[int, int, str, int, str | None, str | None]  # place, line, kind, step of depth, name, text
 
 
+def _thinned(toks: list[Token]) -> list[Token]:
+    """One row for a run of other code: only that there is some matters to the neighbours."""
+    return [t for k, t in enumerate(toks) if t[2] != "code" or not k or toks[k - 1][2] != "code"]
+
+
 def python_tokens(text: str) -> list[Token]:
     found = spans("python", text)
     code = _masked(text, found)
-    docs = {sp.start: sp for sp in found if sp.kind == "docstring"}
+    docs = {}
+    for sp in found:
+        if sp.kind == "docstring":
+            docs.setdefault(text.count("\n", 0, sp.start), sp)
     out: list[Token] = []
     stack, at, line, depth, last = [0], 0, 0, 0, 0
     lines = code.split("\n")
@@ -70,19 +85,22 @@ def python_tokens(text: str) -> list[Token]:
         start, stop = at, at + len(raw)
         at = stop + 1
         line = k + 1
-        doc = next((d for s, d in docs.items() if start <= s < stop + 1 and not code[start:s].strip()), None)
-        if depth > 0 or not raw.strip() and doc is None:
-            depth = max(0, depth + sum(raw.count(c) for c in "([{") - sum(raw.count(c) for c in ")]}"))
-            last = line if raw.strip() else last
+        bare = raw.strip()
+        doc = docs.get(k)
+        if doc is not None and code[start : doc.start].strip():
+            doc = None
+        if depth > 0 or not bare and doc is None:
+            depth = max(0, depth + _nesting(raw))
+            last = line if bare else last
             continue
-        width = len((raw if raw.strip() else text[start : doc.start] + "x")) - len((raw if raw.strip() else text[start : doc.start] + "x").lstrip())
+        width = len(raw) - len(raw.lstrip()) if bare else doc.start - start
         while width < stack[-1]:
             stack.pop()
             out.append((start, last, "close", -1, None, None))
         if width > stack[-1]:
             stack.append(width)
             out.append((start, line, "open", 1, None, None))
-        if doc is not None and not raw.strip():
+        if doc is not None and not bare:
             out.append((doc.start, line, "doc", 0, None, doc.body))
             last = line + text.count("\n", doc.start, doc.end)
             continue
@@ -99,9 +117,9 @@ def python_tokens(text: str) -> list[Token]:
                 out += [(begin + 1, last, "open", 1, None, None), (begin + 2, last, "close", -1, None, None)]
         else:
             out.append((start, line, "code", 0, None, None))
-        depth = max(0, depth + sum(raw.count(c) for c in "([{") - sum(raw.count(c) for c in ")]}"))
+        depth = max(0, depth + _nesting(raw))
     out += [(len(text), last, "close", -1, None, None)] * (len(stack) - 1)
-    return out
+    return _thinned(out)
 
 
 def brace_tokens(language: str, text: str) -> list[Token]:
@@ -111,21 +129,32 @@ def brace_tokens(language: str, text: str) -> list[Token]:
     line = lambda at: bisect_left(breaks, at) + 1
     out: list[Token] = [(sp.start, line(sp.start), "doc", 0, None, sp.body) for sp in found if sp.kind == "doc"]
     heads, inside = {}, []
-    for m in _BRACE_HEAD[language].finditer(code):
-        name = m["c"] or m["a"] if language == "c" else m["a"] or m["b"] or m["c"]
-        if language == "c" and re.search(r"\b(?:return|else|typedef|goto|case)\b", m["a"]):
-            continue
-        close = _closing(code, m.end() - 1)
-        if close < 0:
-            continue
-        tail = re.compile(r"\s*(?=\{)").match(code, close) if language == "c" else _TYPE_TAIL.match(code, close)
-        if not tail or m["c"] is None and m.re is not _BRACE_HEAD["c"] and m["b"] is None and code[tail.end() : tail.end() + 1] != "{":
-            continue
-        if language != "c" and m["b"] and "=>" not in code[close : tail.end() + 2] and "function" not in m[0]:
-            continue
-        begin = m.start() + len(m[0]) - len(m[0].lstrip())
-        inside.append((m.end() - 1, tail.end()))
+
+    def head(begin: int, paren: int, name: str, tail_pattern: re.Pattern, braced: bool = False, arrow: bool = False) -> None:
+        close = _closing(code, paren)
+        tail = tail_pattern.match(code, close) if close > 0 else None
+        if not tail or braced and code[tail.end() : tail.end() + 1] != "{" or arrow and "=>" not in code[close : tail.end() + 2] and "function" not in code[begin:paren]:
+            return
+        inside.append((paren, tail.end()))
         heads[begin] = (begin, line(begin), "head", 0, name, " ".join(text[begin : tail.end()].split()))
+
+    for at in [0, *(m.end() for m in _STARTS.finditer(code))]:
+        m = (_C_HEAD if language == "c" else _JS_HEAD).match(code, at)
+        if m is None:
+            continue
+        begin = m.end() - len(m[0].lstrip())
+        if language == "c":
+            if not re.search(r"\b(?:return|else|typedef|goto|case)\b", m["a"]):
+                head(begin, m.end() - 1, m["c"], _C_TAIL)
+        elif m["b"]:
+            head(begin, m.end() - 1, m["b"], _TYPE_TAIL, arrow=True)
+        else:
+            head(begin, m.end() - 1, m["c"], _TYPE_TAIL)
+    if language != "c":
+        for m in _JS_FUNCTION.finditer(code):
+            if not code[m.start() - 1 : m.start()].isalnum():
+                before = _JS_BEFORE.search(code, max(0, m.start() - 60), m.start())
+                head(before.start(), m.end() - 1, m["a"], _TYPE_TAIL, braced=True)
     out += heads.values()
     inside.sort()
     last = -1
@@ -141,7 +170,7 @@ def brace_tokens(language: str, text: str) -> list[Token]:
         elif m.start() not in heads and c.strip(" \t;") and (k := line(m.start())) != last:
             last = k
             out.append((m.start(), k, "code", 0, None, None))
-    return sorted(out, key=lambda t: (t[0], t[2] != "close"))
+    return _thinned(sorted(out, key=lambda t: (t[0], t[2] != "close")))
 
 
 def tokens(files: DataFrame, texts: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ _JS = re.compile(
 _C = re.compile(
     r"""(?P<line>//(?:\\\r?\n|[^\n])*)
     |(?P<block>/\*.*?(?:\*/|\Z))
-    |(?P<incl>^[ \t]*\#[ \t]*include[^\n]*)
-    |(?P<one>(?:\b(?:u8|u|U|L))?"(?:\\.|[^"\\\n])*"?)
+    |(?P<incl>\#[ \t]*include[^\n]*)
+    |(?P<one>"(?:\\.|[^"\\\n])*"?)
     |(?P<char>'(?:\\.|[^'\\\n])*'?)""",
     re.X | re.S | re.M,
 )
@@ -123,10 +123,18 @@ def _last_block(code: str) -> str:
     return "\n" + head
 
 
+#: The characters that a comment or literal can start with: only there the pattern is tried.
+_MAY_START = re.compile(r"[\"'`/#]")
+
+
 def _braced(text: str, pattern: re.Pattern) -> list[Span]:
     out: list[Span] = []
     i = 0
-    while m := pattern.search(text, i):
+    while start := _MAY_START.search(text, i):
+        m = pattern.match(text, start.start())
+        if m is None:
+            i = start.end()
+            continue
         g = m.lastgroup
         i = m.end()
         if g == "line":
@@ -137,7 +145,7 @@ def _braced(text: str, pattern: re.Pattern) -> list[Span]:
             body = re.sub(r"(?m)^[ \t]*\*(?!/)[ \t]?", "", s[2:-2] if s.endswith("*/") and len(s) >= 4 else s[2:])
             out.append(Span("doc" if doc else "block", m.start(), m.end(), body.strip()))
         elif g == "one":
-            s = m.group().lstrip("u8UL") if m.group()[0] not in "\"'" else m.group()
+            s = m.group()
             out.append(Span("string", m.start(), m.end(), s[1:-1] if len(s) > 1 and s[-1] == s[0] else s[1:]))
         elif g == "tick":
             i = _template(text, m.start())
