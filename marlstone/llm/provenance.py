@@ -122,12 +122,15 @@ def declared(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 # --- evidence in the text ----------------------------------------------------------------------------------------------
 
+_NUMBER = re.compile(r"0[xX][0-9a-fA-F]+|\d+")
+
+
 def counts_upwards(lines: list[str]) -> bool:
     """Most lines come from a few line templates in which one number goes up by one from use to use."""
     uses: dict[str, list[list[int]]] = {}
     for x in lines:
-        nums = re.findall(r"\d+", x)
-        uses.setdefault(re.sub(r"\d+", "#", x.strip()), []).append([int(n) if len(n) < 10 else -1 for n in nums])
+        nums = _NUMBER.findall(x)
+        uses.setdefault(_NUMBER.sub("#", x.strip()), []).append([-1 if len(n) > 9 else int(n, 16) if n[:2] in ("0x", "0X") else int(n) for n in nums])
     good = 0
     for rows in uses.values():
         if len(rows) >= 6 and rows[0]:
