@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.lookup import symmetric
 from marlstone.session import cut
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, hops): undirected reach of `seeds` (node) within `depth` hops; hops is the least number."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to")))
+    both = cut(symmetric(edges, "src", "dst").select(F.col("src").alias("node"), F.col("dst").alias("to")).distinct())
     seen = cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for hop in range(1, depth + 1):
@@ -34,6 +35,11 @@ def edges_within(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return a.unionByName(b).dropDuplicates(["id"])
 
 
+def _mark(pairs: DataFrame) -> tuple:
+    """Count and two independent hash sums of a set of pairs: tells, without a shuffle, whether a round changed it."""
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("v", "u").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node of each connected component, by large-star and small-star rounds.
 
@@ -41,6 +47,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     minimum is a partial aggregate.
     """
     pairs = cut(edges.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("u")).where("u <> v").distinct())
+    mark = _mark(pairs)
     while True:
         # Large star: every larger neighbour of u is tied to the least of u's neighbourhood.
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -49,9 +56,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         # Small star: every smaller neighbour of u, and u, are tied to the least of them.
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = cut(large.join(low2, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        same = small.exceptAll(pairs.select("u", "v")).isEmpty() and pairs.select("u", "v").exceptAll(small).isEmpty()
-        pairs = small.select("v", "u")
-        if same:
+        pairs, before, mark = small.select("v", "u"), mark, _mark(small)
+        if mark == before:
             break
     out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
     if nodes is not None:

@@ -56,8 +56,9 @@ def neighbours(edges: DataFrame, keys: DataFrame, direction: str, out: str = "sr
 
 
 def symmetric(edges: DataFrame, a: str = "a", b: str = "b", *rest: str) -> DataFrame:
-    """Both directions of undirected edges: one equi-join then serves either endpoint."""
-    return edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), *rest).unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst"), *rest))
+    """Both directions of undirected edges, from one pass over them: one equi-join then serves either endpoint."""
+    both = F.explode(F.array(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")), F.struct(F.col(b).alias("src"), F.col(a).alias("dst"))))
+    return edges.select(both.alias("_e"), *rest).select("_e.src", "_e.dst", *rest)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.lookup import symmetric
+from marlstone.session import cut
 
 
 def _capped(df: DataFrame, cap: int) -> DataFrame:
@@ -20,10 +21,9 @@ def _capped(df: DataFrame, cap: int) -> DataFrame:
 
 def fan_in(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(file_id, score): seeds that import a file and seeds that a file imports, counted apart; the greater number counts."""
-    s = seeds.select(F.col("file_id").alias("seed"))
-    out = edges.join(s, edges["src"] == s["seed"]).groupBy(F.col("dst").alias("file_id")).agg(F.countDistinct("seed").alias("score"))
-    into = edges.join(s, edges["dst"] == s["seed"]).groupBy(F.col("src").alias("file_id")).agg(F.countDistinct("seed").alias("score"))
-    return out.unionByName(into).groupBy("file_id").agg(F.max("score").alias("score"))
+    ends = F.array(F.struct(F.col("src").alias("seed"), F.col("dst").alias("file_id"), F.lit(0).alias("way")), F.struct(F.col("dst").alias("seed"), F.col("src").alias("file_id"), F.lit(1).alias("way")))
+    met = edges.select(F.explode(ends).alias("e")).select("e.*").join(seeds.select(F.col("file_id").alias("seed")), "seed", "left_semi")
+    return met.groupBy("file_id", "way").agg(F.countDistinct("seed").alias("score")).groupBy("file_id").agg(F.max("score").alias("score"))
 
 
 def keyword_matches(meta: DataFrame, words: DataFrame, top: int = 5) -> DataFrame:
@@ -35,14 +35,14 @@ def keyword_matches(meta: DataFrame, words: DataFrame, top: int = 5) -> DataFram
 
 
 def expand_scope(plan: DataFrame, seeds: DataFrame, edges: DataFrame, co_changes: DataFrame, meta: DataFrame, words: DataFrame, max_deps: int = 30, max_co: int = 20, max_meta: int = 20, min_count: int = 2) -> DataFrame:
-    """(file_id, tier, score): every file once, the lowest tier wins."""
-    base = plan.select("file_id").withColumn("tier", F.lit(0)).unionByName(seeds.select("file_id").withColumn("tier", F.lit(1))).groupBy("file_id").agg(F.min("tier").alias("tier")).withColumn("score", F.lit(None).cast("long"))
+    """(file_id, tier, score): every file once, the lowest tier wins. Each tier is kept, so that none is computed again by the next."""
+    base = cut(plan.select("file_id").withColumn("tier", F.lit(0)).unionByName(seeds.select("file_id").withColumn("tier", F.lit(1))).groupBy("file_id").agg(F.min("tier").alias("tier")).withColumn("score", F.lit(None).cast("long")))
     start = base.select("file_id")
-    t2 = _capped(fan_in(edges, start).join(start, "file_id", "left_anti"), max_deps).withColumn("tier", F.lit(2))
+    t2 = cut(_capped(fan_in(edges, start).join(start, "file_id", "left_anti"), max_deps).withColumn("tier", F.lit(2)))
     have = start.unionByName(t2.select("file_id"))
     near = symmetric(co_changes.where(F.col("n") >= min_count), "a", "b", "n")
     t3 = near.join(start.withColumnRenamed("file_id", "src"), "src", "left_semi").groupBy(F.col("dst").alias("file_id")).agg(F.max("n").alias("score"))
-    t3 = _capped(t3.join(have, "file_id", "left_anti"), max_co).withColumn("tier", F.lit(3))
+    t3 = cut(_capped(t3.join(have, "file_id", "left_anti"), max_co).withColumn("tier", F.lit(3)))
     have = have.unionByName(t3.select("file_id"))
     t4 = _capped(keyword_matches(meta, words).join(have, "file_id", "left_anti"), max_meta).withColumn("tier", F.lit(4))
     out = base
