@@ -8,8 +8,8 @@
 3. Texts decide the rest: lines far too long, tables of literals without code, and near copies (shingles of five words,
    overlap of 0.8 or more) that other repositories or libraries hold too.
 
-Near copies: equal word sequences are one class first; classes meet in MinHash bands, where each is compared with the
-band's hub; those that differ from it get a new hub, until none is left, so that a band of any size costs no square.
+Near copies: equal word sequences are one class first; classes that share one of their seldom shingles are compared, which
+finds every pair over the bound (see `near_copies`).
 
 Defined results: null and empty texts are judged by path and source alone; knowledge_base rows are never found; repeated
 rows are folded; null paths match no pattern. Other columns aren't read.
@@ -32,6 +32,7 @@ from marlstone.session import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
+LEAST_SIZE = 0.6
 BANDS, ROWS = 24, 5
 MIN_SHINGLES = 30
 LONG_LINE = 250
@@ -188,6 +189,7 @@ _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=
 
 
 def _bands(h: np.ndarray) -> list[int]:
+    """MinHash keys of a set of shingles; no query needs them, near copies are found exactly."""
     with np.errstate(over="ignore"):
         x = h[None, :] * _SEEDS[:, :1] + _SEEDS[:, 1:]
         x ^= x >> np.uint64(31)
@@ -197,12 +199,12 @@ def _bands(h: np.ndarray) -> list[int]:
 
 
 def features(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row per file with text: the marks found in it, masked comment lines, word class, shingles and bands."""
+    """One row per file with text: the marks found in it, masked comment lines, word class and shingles."""
     rows = files.select(F.col("id").alias("file_id"), "repo_id", "path", "language", "file_source").where("file_source is null or file_source <> 'knowledge_base'").dropDuplicates(["file_id"])
     own = texts.select("file_id", "content").where(F.length("content") > 0).dropDuplicates(["file_id"]).join(rows, "file_id")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["file_id", "repo_id", "path", "library", "upwards", "banner", "minified", "blob", "lines", "credits", "cls", "shingles", "bands"]
+        cols = ["file_id", "repo_id", "path", "library", "upwards", "banner", "minified", "blob", "lines", "credits", "cls", "shingles"]
         for b in batches:
             out = []
             for i, repo, path, lang, src, text in zip(b["file_id"], b["repo_id"], b["path"], b["language"], b["file_source"], b["content"]):
@@ -213,11 +215,11 @@ def features(files: DataFrame, texts: DataFrame) -> DataFrame:
                 credits = sorted({w.lower() for x in notes if re.search(r"(?i)copyright|\blicen[cs]e|\bupstream \w+ at\b|\b(?:copied|imported|taken|vendored|bundled) from\b", x) for w in re.findall(r"[A-Za-z][\w-]+", x)})
                 cls, h = _hashes(text)
                 big = len(h) >= MIN_SHINGLES
-                out.append((i, repo, path, src == "library", counts_upwards(code), banner, is_minified(text), is_blob(code), sorted({line_template(x) for x in notes}), credits, np.uint64(cls).astype(np.int64).item(), h.view(np.int64).tolist() if big else [], _bands(h) if big else []))
+                out.append((i, repo, path, src == "library", counts_upwards(code), banner, is_minified(text), is_blob(code), sorted({line_template(x) for x in notes}), credits, np.uint64(cls).astype(np.int64).item(), h.view(np.int64).tolist() if big else []))
             yield pd.DataFrame(out, columns=cols)
 
     return own.select("file_id", "repo_id", "path", "language", "file_source", "content").mapInPandas(
-        look, "file_id long, repo_id long, path string, library boolean, upwards boolean, banner boolean, minified boolean, blob boolean, lines array<string>, credits array<string>, cls long, shingles array<long>, bands array<long>"
+        look, "file_id long, repo_id long, path string, library boolean, upwards boolean, banner boolean, minified boolean, blob boolean, lines array<string>, credits array<string>, cls long, shingles array<long>"
     )
 
 
@@ -237,31 +239,38 @@ def packages(files: DataFrame) -> DataFrame:
 
 # --- near copies -------------------------------------------------------------------------------------------------------
 
-def near_copies(classes: DataFrame) -> DataFrame:
-    """(one, two): links between word classes with an overlap of SIMILARITY or more, from (cls, shingles, bands)."""
-    base = classes.where(F.size("bands") > 0)
-    left = cut(base.select("cls", F.explode("bands").alias("key")))
-    links = None
-    while True:
-        sized = left.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        rest = left.join(sized.select("key", "hub"), "key").where("cls <> hub")
-        pairs = rest.select("cls", "hub").distinct()
-        if links is not None:
-            pairs = pairs.join(links.select("cls", "hub"), ["cls", "hub"], "left_anti")
-        a = base.select("cls", F.col("shingles").alias("own"))
-        b = base.select(F.col("cls").alias("hub"), F.col("shingles").alias("other"))
-        both = F.size(F.array_intersect("own", "other"))
-        least, most = F.least(F.size("own"), F.size("other")), F.greatest(F.size("own"), F.size("other"))
-        new = cut(pairs.join(a, "cls").join(b, "hub").where((both >= SIMILARITY * least) & (least >= 0.6 * most)).select("cls", "hub"))
-        links = new if links is None else links.unionByName(new)
-        left = cut(rest.join(links, ["cls", "hub"], "left_anti").select("cls", "key"))
-        if left.groupBy("key").count().where("count > 1").isEmpty():
-            return links.select(F.col("cls").alias("one"), F.col("hub").alias("two")).distinct()
+def near_copies(classes: DataFrame, block: int = 2048) -> DataFrame:
+    """(one, two): all links between word classes with an overlap of SIMILARITY or more, from (cls, shingles).
+
+    Exact, by prefixes: with shingles in one order, seldom ones first, two classes that share t shingles share one among the
+    first n - t + 1 of each. t is SIMILARITY of the smaller class, which has LEAST_SIZE of the larger one at least. A shingle
+    of one class alone can't meet another: such are only counted. Shingles of many classes are met in blocks.
+    """
+    least_shared = lambda n: F.ceil(SIMILARITY * n - 1e-6)
+    base = classes.where(F.size("shingles") > 0).select("cls", "shingles")
+    each = base.select("cls", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    order = F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("order")
+    shared = each.join(often, "shingle").groupBy("cls", "size").agg(order)
+    alone = F.col("size") - F.size("order")
+    reach = lambda t: F.greatest(F.col("size") - t + 1 - alone, F.lit(0)).cast("int")
+    prefixes = cut(
+        shared.withColumns({"short": reach(least_shared(F.col("size"))), "long": reach(least_shared(F.ceil(LEAST_SIZE * F.col("size") - 1e-6)))})
+        .select("cls", "size", "short", F.posexplode(F.slice("order", F.lit(1), F.col("long"))).alias("at", "x"))
+        .select("cls", "size", (F.col("at") < F.col("short")).alias("short"), "x.shingle", F.ceil(F.col("x.n") / block).cast("int").alias("blocks"))
+    )
+    one = prefixes.where("short").select("shingle", F.col("cls").alias("one"), F.col("size").alias("size1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    two = prefixes.select("shingle", F.col("cls").alias("two"), F.col("size").alias("size2"), F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"))
+    smaller = (F.col("size1") < F.col("size2")) | (F.col("size1") == F.col("size2")) & (F.col("one") < F.col("two"))
+    pairs = cut(one.join(two, ["shingle", "block"]).where(smaller & (F.col("size1") >= LEAST_SIZE * F.col("size2"))).select("one", "two").distinct())
+    a = base.select(F.col("cls").alias("one"), F.col("shingles").alias("own"))
+    b = base.select(F.col("cls").alias("two"), F.col("shingles").alias("other"))
+    return pairs.join(a, "one").join(b, "two").where(F.size(F.array_intersect("own", "other")) >= SIMILARITY * F.size("own")).select("one", "two")
 
 
 def third_party_classes(marks: DataFrame) -> DataFrame:
     """(cls): word classes that a library or several repositories hold, or near copies of such."""
-    per = marks.where(F.size("shingles") > 0).groupBy("cls").agg(F.min("repo_id").alias("lo"), F.max("repo_id").alias("hi"), F.max("library").alias("library"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+    per = marks.where(F.size("shingles") > 0).groupBy("cls").agg(F.min("repo_id").alias("lo"), F.max("repo_id").alias("hi"), F.max("library").alias("library"), F.first("shingles").alias("shingles"))
     classes = cut(per)
     links = cut(near_copies(classes))
     both = links.unionByName(links.select(F.col("two").alias("one"), F.col("one").alias("two")))

@@ -194,6 +194,30 @@ def test_near_copies_find_all_close_pairs(spark):
     assert all((root[a] == root[b]) == (a // 4 == b // 4) for a, b in combinations(range(len(sets)), 2))
 
 
+def exact_links(sets):
+    return {tuple(sorted((a, b), key=lambda k: (len(sets[k]), k))) for a, b in combinations(range(len(sets)), 2) if (lo := min(len(sets[a]), len(sets[b]))) >= 0.6 * max(len(sets[a]), len(sets[b])) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * lo}
+
+
+def near_links(spark, sets, **args):
+    df = spark.createDataFrame([(k, [int(v) for v in s.view(np.int64)], provenance._bands(s)) for k, s in enumerate(sets)], "cls long, shingles array<long>, bands array<long>")
+    rows = [(r.one, r.two) for r in provenance.near_copies(df, **args).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_near_copies_of_drifting_versions_equal_brute_force(spark):
+    rnd = np.random.default_rng(11)
+    sets = [rnd.integers(0, 1 << 60, 100).astype(np.uint64)]
+    for _ in range(79):  # a tree of versions, each some steps away from an earlier one
+        x = sets[rnd.integers(max(0, len(sets) - 12), len(sets))].copy()
+        x[rnd.choice(100, 9, False)] = rnd.integers(0, 1 << 60, 9).astype(np.uint64)
+        sets.append(x)
+    sets = [np.unique(x) for x in sets]
+    want = exact_links(sets)
+    undirected = lambda links: {tuple(sorted(x)) for x in links}
+    assert len(want) > 79 and undirected(near_links(spark, sets)) == undirected(want) == undirected(near_links(spark, sets, block=7))
+
+
 # --- 5
 
 def calls(spark, rows):
