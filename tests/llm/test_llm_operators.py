@@ -149,6 +149,29 @@ def test_lines_of_prose(spark):
     assert natural.lines(f.limit(0), t.limit(0), com.limit(0)).count() == 0
 
 
+def test_prose_of_several_scripts_and_beside_code(spark):
+    mixed = "This checks whether the connection is still open 检查连接是否仍然打开"
+    assert [x for x, _ in natural.prose_segments(mixed)] == ["en", "zh"]
+    assert [x for x, _ in natural.prose_segments("请在关闭连接之前 then write the rest of the buffer to the disk and return to the caller")] == ["zh", "en"]
+    assert natural.prose_language("Remember to call flush() before the stream is closed") == "en"
+    assert [natural.prose_language(x) for x in ("return flush()", "x = compute(a);\ny = x + 1;", "if ready() and done():", "for (x of list()) {\n  push(x);\n}")] == [None] * 4
+    prose = "The first line of the note\nis followed by the second one\nand by the third one"
+    size = lambda text: sum(n for _, n in natural.prose_segments(text))
+    assert size(prose) == size(prose + "\nvalue = compute(other);\nreturn value;") == size("value = compute(other);\n" + prose)
+    f, t = sources(spark, [(1, 1, "a.py", "python", "project", f"x = 1  # {mixed}\n# {mixed[:48]}, 检查连接是否仍然打开 and {mixed[:1].lower()}{mixed[1:48]}\n")])
+    com = spark.createDataFrame([], "file_id long, line long, content string")
+    assert {tuple(r) for r in natural.lines(f, t, com).collect()} == {(1, 1, "en"), (1, 2, "en")}
+    got = {r.lang: r.bytes for r in natural.shares(f, t, com).collect()}
+    assert set(got) == {"en", "zh"} and got["zh"] == 60
+
+
+def test_equally_long_segments_of_one_span_add_up(spark):
+    one = "检查连接是否仍然打开了吗"
+    f, t = sources(spark, [(1, 1, "a.py", "python", "project", f"# {one} then the rest of the buffer is written to the disk and {one}\n")])
+    got = {r.lang: r.bytes for r in natural.shares(f, t, spark.createDataFrame([], "file_id long, line long, content string")).collect()}
+    assert got["zh"] == 2 * len(one.encode())
+
+
 # --- 4
 
 def test_attribute_precedence():
