@@ -9,7 +9,7 @@
    overlap of 0.8 or more) that other repositories or libraries hold too.
 
 Near copies: equal word sequences are one class first; classes that share one of their seldom shingles are compared, which
-finds every pair over the bound (see `near_copies`).
+finds every pair over the bound (see `near_copies`). Texts of fewer than MIN_SHINGLES count where a library has the same words.
 
 Defined results: null and empty texts are judged by path and source alone; knowledge_base rows are never found; repeated
 rows are folded; null paths match no pattern. Other columns aren't read.
@@ -298,9 +298,12 @@ def not_hand_written(files: DataFrame, texts: DataFrame) -> DataFrame:
     credited = marks.select("file_id", F.explode("credits").alias("package")).join(names, "package", "left_semi").select("file_id")
     copies = marks.where("not upwards and not minified and not blob").join(third_party_classes(marks.where("not upwards and not minified and not blob")), "cls", "left_semi").select("file_id")
     why = lambda df, reason: df.select("file_id").withColumn("reason", F.lit(reason))
+    # Texts with too few shingles for near copies: those that equal a text of a library, word by word.
+    few = marks.where("not upwards and not minified and not blob and size(shingles) = 0 and cls <> 0")
+    same = few.join(few.where("library").select("cls").distinct(), "cls", "left_semi").select("file_id")
     parts = [
         why(own.where("file_source = 'library'"), "library"), why(said, "declared"), why(marks.where("upwards or banner"), "generated"), why(wording, "mined wording"),
-        why(marks.where("minified"), "minified"), why(marks.where("blob"), "data"), why(lying, "vendored"), why(credited, "credited"), why(copies, "copy"),
+        why(marks.where("minified"), "minified"), why(marks.where("blob"), "data"), why(lying, "vendored"), why(credited, "credited"), why(copies, "copy"), why(same, "copy"),
     ]
     out = parts[0]
     for p in parts[1:]:

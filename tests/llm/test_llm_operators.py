@@ -241,6 +241,22 @@ def test_near_copies_of_drifting_versions_equal_brute_force(spark):
     assert len(want) > 79 and undirected(near_links(spark, sets)) == undirected(want) == undirected(near_links(spark, sets, block=7))
 
 
+def test_near_copies_with_much_added_equal_brute_force(spark):
+    rnd = np.random.default_rng(12)
+    fresh = lambda n: rnd.integers(0, 1 << 60, n).astype(np.uint64)
+    sets = []
+    for _ in range(40):  # 80 of the smaller one's 100 shingles in a larger one of up to 166: a Jaccard similarity of 0.43
+        x = fresh(100)
+        sets += [np.unique(x), np.unique(np.concatenate([x[:80], fresh(rnd.choice([20, 45, 86]))]))]
+    assert near_links(spark, sets) == exact_links(sets) == {(2 * k, 2 * k + 1) if len(sets[2 * k]) <= len(sets[2 * k + 1]) else (2 * k + 1, 2 * k) for k in range(40)}
+
+
+def test_small_files_equal_to_a_library_text_are_copies(spark):
+    rows = [(1, 1, "pkgone/a.py", "python", "library", "def add(a, b):\n    return a + b\n"), (2, 2, "x.py", "python", "project", "def add(a, b):\n    return (a + b)\n"), (3, 2, "y.py", "python", "project", "def sub(a, b):\n    return a - b\n"),
+            (4, 1, "pkgone/b.py", "python", "library", "()\n"), (5, 2, "z.py", "python", "project", "[]\n"), (6, 3, "y.py", "python", "project", "def sub(a, b):\n    return a - b\n")]
+    assert {r.file_id: r.reasons for r in provenance.not_hand_written(*sources(spark, rows)).collect()} == {1: ["copy", "library"], 2: ["copy"], 4: ["library"]}
+
+
 # --- 5
 
 def calls(spark, rows):
