@@ -7,7 +7,8 @@ state and depth. Chunks are then cut where the depth is zero between statements,
 local grammars parse the balanced statements: Python's own compiler, and grammars of modules, TypeScript and C.
 
 A text of one chunk is one stretch. Where the fold or a stretch of a longer text fails, an exact check of the whole text
-follows (a quote inside a replacement field, a brace inside a macro), up to WHOLE characters.
+follows (a quote inside a replacement field, a brace inside a macro), and also where a stretch has what can make others
+invalid: macros, conditionals, type names, future statements, `global` at the top level. It has no limit of size.
 
 Defined results: language text, knowledge_base rows, null languages and null texts never count; an empty text is valid; a
 file comes once however often its row is repeated; files without a text are counted as files, not as errors.
@@ -15,6 +16,7 @@ file comes once however often its row is repeated; files without a text are coun
 
 from __future__ import annotations
 
+import ast
 import re
 import sys
 import warnings
@@ -29,7 +31,6 @@ from marlstone.llm.grammar_js import Invalid
 
 LANGUAGES = ("python", "javascript", "typescript", "c")
 CHUNK = 8192
-WHOLE = 8 << 20
 
 _OPENERS, _PAIR = "([{", {")": "(", "]": "[", "}": "{"}
 # The states in which a line may start, by language.
@@ -185,6 +186,31 @@ def is_valid(language: str, text: str) -> bool:
     return True
 
 
+_C_STATE = re.compile(r"^[ \t]*#[ \t]*(?!include\b)|\btypedef\b", re.M)
+
+
+def reaches_out(language: str, text: str) -> bool:
+    """Whether a valid stretch may be wrong among others, or make them wrong."""
+    if language == "c":
+        return _C_STATE.search(text) is not None
+    if language != "python":
+        return False
+    if "__future__" in text or "\ufeff" in text:
+        return True
+    if "global" not in text:
+        return False
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        left: list[ast.AST] = [ast.parse(text)]
+    while left:
+        node = left.pop()
+        if isinstance(node, ast.Global):
+            return True
+        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.expr)):
+            left += ast.iter_child_nodes(node)
+    return False
+
+
 def chunked(text: str, size: int) -> list[str]:
     """Stretches of whole lines of about `size` characters."""
     out, at = [], 0
@@ -200,7 +226,7 @@ def _sources(files: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.select("file_id", "content").where("content is not null").dropDuplicates(["file_id"]).join(own, "file_id")
 
 
-def broken(files: DataFrame, texts: DataFrame, chunk: int = CHUNK, whole: int = WHOLE) -> DataFrame:
+def broken(files: DataFrame, texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(file_id): the files whose text isn't valid in their language."""
     sources = _sources(files, texts)
 
@@ -246,7 +272,7 @@ def broken(files: DataFrame, texts: DataFrame, chunk: int = CHUNK, whole: int =
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(20_000)
         for b in batches:
-            bad = sorted({i for i, l, text in zip(b["file_id"], b["language"], b["text"]) if not is_valid(l, text)})
+            bad = sorted({i for i, l, text in zip(b["file_id"], b["language"], b["text"]) if not is_valid(l, text) or reaches_out(l, text)})
             yield pd.DataFrame({"file_id": pd.Series(bad, dtype="int64")})
 
     short = sources.where(F.length("content") <= chunk).select("file_id", "language", "content").mapInPandas(single, "file_id long")
@@ -260,9 +286,8 @@ def broken(files: DataFrame, texts: DataFrame, chunk: int = CHUNK, whole: int =
     stretch = parts.select("file_id", "chunk", "part").withColumn("stretch", F.sum(F.when(F.col("part") > 0, 1).otherwise(0)).over(order))
     whole_parts = parts.join(stretch, ["file_id", "chunk", "part"]).groupBy("file_id", "language", "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part", "text"))), lambda x: x["text"]), "").alias("text"))
     doubtful = whole_parts.select("file_id", "language", "text").mapInPandas(judge, "file_id long").unionByName(starts.where("odd").select("file_id")).distinct()
-    again = long_.where(F.length("content") <= whole).join(doubtful, "file_id", "left_semi").select("file_id", "language", "content").mapInPandas(single, "file_id long")
-    giant = long_.where(F.length("content") > whole).join(doubtful, "file_id", "left_semi").select("file_id")
-    return short.unionByName(again).unionByName(giant).distinct()
+    again = long_.join(doubtful, "file_id", "left_semi").select("file_id", "language", "content").mapInPandas(single, "file_id long")
+    return short.unionByName(again).distinct()
 
 
 def rates(files: DataFrame, texts: DataFrame, runs: DataFrame) -> DataFrame:

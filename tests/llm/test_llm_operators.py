@@ -81,6 +81,24 @@ def test_broken_at_any_chunk_size(spark, chunk):
     assert parsing.broken(*sources(spark, []), chunk=chunk).count() == 0
 
 
+def test_broken_looks_across_stretches(spark):
+    lines = "x = 1\ny = 2\n" * 4
+    bad = {
+        "python": [lines + "from __future__ import annotations\n", lines + "if y:\n    global x\n", lines + "\ufeffz = 1\n"],
+        "c": ["#define V 5\nint a;\nint b;\nint V;\n"],
+    }
+    good = {"python": ["'d'\nfrom __future__ import annotations\n" + lines, lines + "def f():\n    global x\n    x = 3\n"], "c": ["#ifndef A\n#define A\nint a;\nint f(void) { return 1; }\n#endif\n"]}
+    rows = [(k, 1, "a", l, "project", t) for k, (l, t) in enumerate((l, t) for texts in (bad, good) for l, ts in texts.items() for t in ts)]
+    want = {i for i, _, _, l, _, t in rows if not parsing.is_valid(l, t)}
+    assert want == set(range(4)) and {r.file_id for r in parsing.broken(*sources(spark, rows), chunk=8).collect()} == want
+
+
+def test_doubtful_giants_are_parsed(spark):
+    text = 'x = f"{"(" }"\n' + ("# " + "y" * 8000 + "\n") * 1100
+    rows = [(1, 1, "a.py", "python", "project", text), (2, 1, "b.py", "python", "project", text + "x = )\n")]
+    assert len(text) > 8 << 20 and {r.file_id for r in parsing.broken(*sources(spark, rows)).collect()} == {2}
+
+
 def test_rates(spark):
     f, t = sources(spark, [(1, 7, "a", "python", "project", "x = ("), (2, 7, "b", "python", "project", "x = 1"), (3, 7, "c", "c", "project", "int x;")])
     runs = spark.createDataFrame([(1, 7, 5, "2024-01-01"), (2, 7, 9, "2024-02-01"), (3, 7, None, "2024-03-01")], "id long, repo_id long, parse_errors long, run_at string")
