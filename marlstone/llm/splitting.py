@@ -3,8 +3,8 @@
 A text is cut into ranges of `range_chars` characters, each with a halo of one character before it. A worker finds, in its
 range, where tokens start (a place whose class differs from that before it, so that counts of ranges add up), the
 paragraph parts, and the first boundary of each kind. One summary row per range is stitched per text: a running sum gives
-every range its token and paragraph offsets, and an open paragraph is joined across ranges. Each range then owns the text
-from its first boundary to that of the next range and cuts it on its own, reading by offset.
+every range its token and paragraph offsets, and an open paragraph is joined across ranges. Where a piece ends depends on
+the piece before it, so pieces are cut by one worker that the ranges of a text pass in order, with the open tokens kept.
 
 A text of one range, nearly all of them, takes the same functions without the stitching shuffle.
 
@@ -16,6 +16,7 @@ giving equal results, so repeated rows are folded. Other columns aren't read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,13 +35,13 @@ SENTENCE = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|(?<=[。！？；])|\n")
 
 
 def ranges(df: DataFrame, id_col: str, text_col: str, size: int = RANGE_CHARS) -> DataFrame:
-    """(id, rng, of, at, text): the ranges of each text; `at` is where the range starts, its text has one character more before."""
+    """(id, key, rng, of, at, text): the ranges of each text, by id and hash; `at` is where the range starts, its text has one character more before."""
     n = F.greatest(F.ceil(F.length("text") / size), F.lit(1)).cast("int")
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    rows = own.select("id", "text", n.alias("of"), F.explode(F.sequence(F.lit(0), n - 1)).alias("rng"))
+    own = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    rows = own.select("id", "key", "text", n.alias("of"), F.explode(F.sequence(F.lit(0), n - 1)).alias("rng"))
     at = (F.col("rng") * size).cast("long")
     part = F.when(F.col("of") == 1, F.col("text")).otherwise(F.substring("text", F.greatest(at, F.lit(1)).cast("int"), F.when(at == 0, size).otherwise(size + 1)))
-    return rows.select("id", "rng", "of", at.alias("at"), part.alias("text"))
+    return rows.select("id", "key", "rng", "of", at.alias("at"), part.alias("text"))
 
 
 def _tokens(text: str, before: str = "") -> int:
@@ -184,84 +185,91 @@ def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     return short.unionByName(long_).distinct()
 
 
-def _pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
-    """(start, end, tokens, shared with the piece before, boundary at the end) of one stretch of text."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    if not spans:
-        return []
-    n = len(spans)
-    if n <= limit:
-        return [(spans[0][0], spans[-1][1], n, 0, "end")]
-    starts = [s for s, _ in spans]
-    from bisect import bisect_left
-
-    rank = [0] * (n + 1)  # of the boundary before token i: 3 paragraph, 2 line or sentence, 0 none
-    for m in SENTENCE.finditer(text):
-        rank[bisect_left(starts, m.end())] = 2
-    for m in PARAGRAPH.finditer(text):
-        rank[bisect_left(starts, m.end())] = 3
-    rank[n] = 4
-    out, at, new = [], 0, 0  # at: first token of the piece, new: its first token that no piece had before
-    while new < n:
-        top = min(n, at + limit)
-        best = top
-        for want in (4, 3, 2):
-            ok = [i for i in range(top, new, -1) if rank[i] >= want]
-            if ok and (want == 4 or ok[0] - at > limit // 4):
-                best = ok[0]
+class _Cutter:
+    """Cuts a text that comes in parts, in order. It holds the part, and the tokens that the next piece may need."""
+
+    def __init__(self, limit: int, overlap: int):
+        self.limit, self.overlap = limit, overlap
+        self.tail, self.place = "", 0  # from the last token on, which may go on in the next part
+        self.spans: list[tuple[int, int]] = []
+        self.rank: list[int] = []  # of the boundary before each token: 3 paragraph, 2 line or sentence, 0 none
+        self.at = self.new = 0  # first token of the piece, and its first token that no piece had before
+
+    def feed(self, part: str, last: bool) -> list[tuple[int, int, int, int, str]]:
+        """(start, end, tokens, shared with the piece before, boundary at the end) of the pieces that are certain now."""
+        text = self.tail + part
+        found = [m.span() for m in TOKEN.finditer(text)]
+        if not found:  # blank so far
+            self.tail = text
+            return []
+        starts = [s for s, _ in found]
+        rank = [0] * (len(found) + 1)
+        for m in SENTENCE.finditer(text):
+            rank[bisect_left(starts, m.end())] = 2
+        for m in PARAGRAPH.finditer(text):
+            rank[bisect_left(starts, m.end())] = 3
+        if self.spans:
+            self.spans.pop()
+            rank[0] = self.rank.pop()
+        self.spans += [(self.place + s, self.place + e) for s, e in found]
+        self.rank += rank[:-1]
+        self.tail, self.place = text[starts[-1] :], self.place + starts[-1]
+        return self._cut(last)
+
+    def _cut(self, last: bool) -> list[tuple[int, int, int, int, str]]:
+        spans, rank, n = self.spans, self.rank + [4 if last else 0], len(self.spans)
+        at, new, out = self.at, self.new, []
+        while new < n and (last or at + self.limit < n):
+            top = min(n, at + self.limit)
+            best = top
+            for want in (4, 3, 2):
+                ok = [i for i in range(top, new, -1) if rank[i] >= want]
+                if ok and (want == 4 or ok[0] - at > self.limit // 4):
+                    best = ok[0]
+                    break
+            out.append((spans[at][0], spans[best - 1][1], best - at, new - at, {4: "end", 3: "paragraph", 2: "sentence"}.get(rank[best], "token")))
+            if best == n:
                 break
-        out.append((spans[at][0], spans[best - 1][1], best - at, new - at, {4: "end", 3: "paragraph", 2: "sentence"}.get(rank[best], "token")))
-        if best == n:
-            break
-        new, at = best, max(at + 1, best - overlap)
-        for i in range(at, new):  # start the overlap at a sentence where one starts inside it
-            if rank[i] >= 2:
-                at = i
-                break
-    return out
-
-
-def _first_boundary(text: str, skip: int) -> int:
-    """Where a range's own text starts: after its first paragraph break, else line or sentence end, else at a token, else nowhere (-1)."""
-    for found in (PARAGRAPH.search(text, skip), SENTENCE.search(text, skip)):
-        if found and found.end() < len(text):
-            return found.end()
-    for m in TOKEN.finditer(text, skip):
-        if m.start() > skip:
-            return m.start()
-    return -1
+            new, at = best, max(at + 1, best - self.overlap)
+            for i in range(at, new):  # start the overlap at a sentence where one starts inside it
+                if rank[i] >= 2:
+                    at = i
+                    break
+        del self.spans[:at], self.rank[:at]
+        self.at, self.new = 0, new - at
+        return out
 
 
 def split(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS) -> DataFrame:
     """(id, piece_no, start, end, tokens, shared, boundary): pieces of at most `limit` tokens, by 0-based character offsets.
 
     Every token is new in exactly one piece; `shared` of the piece's first tokens belong to the piece before too, `overlap` at most.
-    Between ranges of a giant text there is no overlap.
+    The ranges of a text pass one worker in order, so that their size doesn't change the pieces and none holds the whole text.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be under half the limit")
     kind = df.schema[id_col].dataType.simpleString()
     rows = ranges(df, id_col, text_col, range_chars)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = [0 if a == 0 else (a - 1 + p if (p := _first_boundary(t, 1)) >= 0 else -1) for a, t in zip(b["at"], b["text"])]
-            yield pd.DataFrame({"id": b["id"], "rng": b["rng"], "begin": at})
-
     def cutting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["id", "begin", "start", "end", "tokens", "shared", "boundary"]
+        now, cutter = None, _Cutter(limit, overlap)
         for b in batches:
-            yield pd.DataFrame([(i, at, at + s, at + e, n, sh, kind_) for i, at, t in zip(b["id"], b["begin"], b["text"]) for s, e, n, sh, kind_ in _pieces(t, limit, overlap)], columns=cols)
-
-    one = rows.where(F.col("of") == 1).select("id", F.lit(0).cast("long").alias("begin"), "text")
-    cuts = rows.where(F.col("of") > 1).repartition("id", "rng").select("id", "rng", "at", "text").mapInPandas(first, f"id {kind}, rng int, begin long")
-    per = cuts.where(F.col("begin") >= 0).dropDuplicates(["id", "rng"]).groupBy("id").agg(F.array_sort(F.collect_set("begin")).alias("begins"))
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > range_chars).dropDuplicates(["id"])
-    owned = texts.join(per, "id").select("id", "text", "begins", F.posexplode("begins").alias("k", "begin"))
-    until = F.coalesce(F.try_element_at("begins", F.col("k") + 2), F.length("text").cast("long"))
-    many = owned.select("id", "begin", F.substring("text", (F.col("begin") + 1).cast("int"), (until - F.col("begin")).cast("int")).alias("text")).repartition("id", "begin")
-    schema = f"id {kind}, begin long, start long, end long, tokens long, shared long, boundary string"
-    done = one.unionByName(many).mapInPandas(cutting, schema).distinct()
+            out = []
+            for i, key, r, of, at, t in zip(b["id"], b["key"], b["rng"], b["of"], b["at"], b["text"]):
+                own = None if pd.isna(i) else i, key
+                if (own, r) == now:
+                    continue
+                if r == 0:
+                    cutter = _Cutter(limit, overlap)
+                now = own, r
+                out += [(i, *x) for x in cutter.feed(t if at == 0 else t[1:], r == of - 1)]
+            yield pd.DataFrame(out, columns=["id", "start", "end", "tokens", "shared", "boundary"])
+
+    cols = ["id", "key", "rng", "of", "at", "text"]
+    one = rows.where(F.col("of") == 1).select(*cols)
+    many = rows.where(F.col("of") > 1).select(*cols).repartition("id", "key").sortWithinPartitions("id", "key", "rng")
+    schema = f"id {kind}, start long, end long, tokens long, shared long, boundary string"
+    done = one.mapInPandas(cutting, schema).unionByName(many.mapInPandas(cutting, schema)).distinct()
     w = Window.partitionBy("id").orderBy("start", "end")
     return done.select("id", (F.row_number().over(w) - 1).cast("long").alias("piece_no"), "start", "end", "tokens", "shared", "boundary")
 

@@ -446,6 +446,17 @@ def test_pieces_hold_every_token_once(spark, size):
         assert sum(r.tokens - r.shared for r in own) == len(TOKEN.findall(t))
 
 
+def test_pieces_are_the_same_at_any_range_size(spark):
+    rnd = random.Random(21)
+    parts = ["word", "a_b1", "end. ", 'so." ', ") ", "\n", "\r\n\r\n", "\n \t\n", " ", "  ", "x;", "结束。", "...", "(y)", "né "]
+    texts = ["".join(rnd.choice(parts) + (" " if rnd.random() < 0.4 else "") for _ in range(900)) for _ in range(4)] + ["w" * 500 + " v" * 60, "a b " * 40 + " " * 300]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    get = lambda size: {tuple(r) for r in splitting.split(df, limit=20, overlap=6, range_chars=size).collect()}
+    want = get(1 << 20)
+    assert max(r[5] for r in want) == 6 and sum(r[6] == "end" for r in want) == 7
+    assert get(7) == want and get(64) == want and get(501) == want
+
+
 def test_file_ranges_read_each_line_once(spark, tmp_path):
     text = "".join(f"line {k} {'é' * (k % 17)}\n" for k in range(500)) + "no end"
     (tmp_path / "a.txt").write_text(text)
