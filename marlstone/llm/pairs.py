@@ -130,7 +130,7 @@ def is_refusal(response: str) -> bool:
     s = _QUOTED.sub(" ", s.replace("’", "'")) if not re.fullmatch(r"\s*\"[^\"]*\"\s*", s) else s.strip().strip('"')
     sentences = [x.strip() for x in _SENTENCE.findall(s) if x.strip(" .!?。！？\n\t-*>:\"'")]
     bad = [any(r.search(x) for r in REFUSALS) for x in sentences]
-    if not any(bad[:3]):
+    if not any(bad):
         return False
     rest = [x for x, b in zip(sentences, bad) if not b and not POLITE.match(x)]
     return len(" ".join(rest)) <= 60 or len(rest) <= 1

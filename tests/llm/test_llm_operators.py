@@ -295,6 +295,11 @@ def test_defects(spark):
     assert pairs.defects(calls(spark, rows).limit(0)).count() == 0
 
 
+def test_late_refusals_are_found():
+    polite = "I'm sorry. " * 4
+    assert pairs.is_refusal(polite + "I can't help with this request.") and not pairs.is_refusal(polite + "The cache is flushed first.")
+
+
 def test_shortened_across_partitions(spark):
     rnd = random.Random(4)
     texts = {"".join(rnd.choice("abc ") for _ in range(rnd.randrange(24, 60))) for _ in range(300)}
