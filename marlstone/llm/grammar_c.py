@@ -84,13 +84,36 @@ def _truth(expr: str, macros: dict) -> bool:
         return True
 
 
-def preprocess(text: str) -> list[Tok]:
-    """Tokens of the branches that are taken, macros expanded."""
-    macros: dict[str, tuple[list[str] | None, list[Tok]]] = {}
+class Env:
+    """What earlier stretches of a file give to later ones: macros, open conditionals, names of types."""
+
+    def __init__(self) -> None:
+        self.macros: dict[str, tuple[list[str] | None, list[Tok]]] = {}
+        self.stack: list[list[bool]] = []  # of each open #if: taken now, taken before, else seen
+        self.types: set[str] = set()
+
+    def skim(self, facts: str) -> None:
+        """Take in directives and typedefs without the code between them, as `facts` writes them."""
+        preprocess(facts, self)
+        self.types.update(_TYPE_FACT.findall(facts))
+
+
+_TYPE_FACT = re.compile(r"^typedef int (\w+);$", re.M)
+_TYPEDEF = re.compile(r"\btypedef\b[^;{}()]*?(\w+)[ \t]*;|\btypedef\b[^;{}]*\([ \t]*\*[ \t]*(\w+)[ \t]*\)[^;{}]*;|^\}[ \t]*\*?[ \t]*(\w+)[ \t]*;", re.M)
+
+
+def type_names(code: str) -> list[str]:
+    """Names that the typedefs in a stretch of code give, where they can be told by their ends."""
+    return [a or b or c for a, b, c in _TYPEDEF.findall(code)]
+
+
+def preprocess(text: str, env: Env | None = None) -> list[Tok]:
+    """Tokens of the branches that are taken, macros expanded. An environment goes on; without one conditionals must close."""
+    whole, env = env is None, env or Env()
+    macros, stack = env.macros, env.stack
     out: list[Tok] = []
     pending: list[Tok] = []
-    stack: list[list[bool]] = []  # taken now, taken before, else seen
-    live = True
+    live = all(x[0] for x in stack)
     for at, line, directive in _logical_lines(text):
         if not directive:
             if live:
@@ -142,7 +165,7 @@ def preprocess(text: str) -> list[Tok]:
                 raise Invalid(f"#{word} at {at}")
             elif word is None and rest:
                 raise Invalid(f"# at {at}")
-    if stack:
+    if stack and whole:
         raise Invalid("#if without #endif")
     return out + expand(pending, macros)
 
@@ -214,10 +237,10 @@ def expand(toks: list[Tok], macros: dict, hidden: frozenset = frozenset(), depth
 
 
 class Parser:
-    def __init__(self, toks: list[Tok]):
+    def __init__(self, toks: list[Tok], types: set[str] | None = None):
         self.t = [*toks, ("eof", "", -1)]
         self.i = 0
-        self.types: set[str] = set()
+        self.types: set[str] = set() if types is None else types
         self.loop = self.switch = 0
         stack = []
         for kind, v, at in toks:
@@ -830,9 +853,9 @@ class Parser:
                 return place
 
 
-def parse(text: str) -> None:
-    """Raises Invalid where the text is no C."""
+def parse(text: str, env: Env | None = None) -> None:
+    """Raises Invalid where the text is no C; with an environment, where stretches between statements of a file aren't."""
     try:
-        Parser(preprocess(text.lstrip("﻿"))).program()
+        Parser(preprocess(text.lstrip("\ufeff"), env), env and env.types).program()
     except RecursionError as e:
         raise Invalid("nested too deeply") from e

@@ -115,7 +115,8 @@ class Parser:
         self.cur = toks[0]
         self.fn = self.loop = self.breakable = 0
         self.is_async, self.gen, self.labels = True, False, []
-        self.no_in = self.ambient = False
+        self.no_in = self.ambient = self.exporting = False
+        self.exports: list[str] = []  # names that the module gives out, in order
 
     # -- tokens
     def next(self) -> Tok:
@@ -230,9 +231,16 @@ class Parser:
 
     def declarators(self, const: bool, loop: bool = False) -> int:
         n = 0
+        exporting, self.exporting = self.exporting, False
         while True:
             pattern = self.cur.v in ("[", "{")
+            begin = self.i
             self.binding()
+            if exporting:
+                own = self.t[begin : self.i]
+                # A name of a pattern has no colon behind it; patterns with defaults aren't looked into.
+                if not any(t.v == "=" for t in own):
+                    self.exports += [t.v for t, u in zip(own, [*own[1:], self.t[-1]]) if t.kind == "id" and u.v != ":"]
             if self.ts and self.eat("!"):
                 pass
             if self.ts and self.eat(":"):
@@ -452,11 +460,14 @@ class Parser:
                 if importing:
                     self.ident()
                 elif self.cur.kind == "str":
-                    self.next()
+                    first = self.next()
                 else:
+                    first = self.cur
                     self.ident(True)
             elif importing and (first.kind == "str" or first.v in RESERVED and not self.ts):
                 self.fail("reserved name before")
+            if not importing:
+                self.exports.append(first.v.strip("\"'"))
             if not self.eat(","):
                 self.need("}")
                 return
@@ -466,6 +477,7 @@ class Parser:
             self.fail()
         self.next()
         if self.eat("default"):
+            self.exports.append("default")
             if self.at("function") or self.at("async") and self.peek().v == "function" and not self.peek().nl:
                 self.function(True, optional_name=True)
             elif self.at("class") or self.at("@") or self.ts and self.at("abstract") and self.peek().v == "class":
@@ -479,6 +491,7 @@ class Parser:
                 self.semi()
         elif self.eat("*"):
             if self.eat("as"):
+                self.exports.append(self.cur.v.strip("\"'"))
                 self.cur.kind == "str" and self.next() or self.ident(True)
             self.need("from")
             self.source()
@@ -496,6 +509,11 @@ class Parser:
         elif self.cur.v in ("var", "let", "const", "function", "class", "async") or self.at("@"):
             if self.at("async") and self.peek().v != "function":
                 self.fail()
+            k = 1 + self.at("async")
+            if self.at("class") or self.peek(k - 1).v == "function":
+                name = self.peek(k + (self.peek(k).v == "*"))
+                self.exports += [name.v] if name.kind == "id" else []
+            self.exporting = self.cur.v in ("var", "let", "const")
             self.statement(True)
         elif self.ts and self.eat("="):
             self.expression()
@@ -1386,10 +1404,22 @@ _STATEMENTS = frozenset("var const let function async class if while do for retu
 _TS_STATEMENTS = frozenset("enum interface type abstract namespace module global declare".split())
 
 
-def parse(text: str, typescript: bool) -> None:
-    """Raises Invalid where the text is no module."""
+def parse(text: str, typescript: bool, first: bool = True) -> list[str]:
+    """The names that a module, or statements of its top level, export. Raises Invalid where the text is none.
+
+    A mark of the byte order and a line for the shell may stand at the head of the `first` statements only. A module that
+    exports a name twice is invalid; in TypeScript that is no matter of syntax, and nothing is returned.
+    """
+    if not first and text.startswith(("\ufeff", "#!")):
+        raise Invalid("not at the head of the file")
     toks, _ = tokenize(text.lstrip("\ufeff"))
+    parser = Parser(toks, typescript)
     try:
-        Parser(toks, typescript).program()
+        parser.program()
     except RecursionError as e:
         raise Invalid("nested too deeply") from e
+    if typescript:
+        return []
+    if len(set(parser.exports)) < len(parser.exports):
+        raise Invalid("exported twice")
+    return parser.exports

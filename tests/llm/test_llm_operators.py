@@ -60,7 +60,7 @@ def test_state_maps_compose_associatively_and_equal_the_whole():
                     right = parsing.compose(maps[0], parsing.compose(maps[1], maps[2]))
                     assert left["N"] == right["N"]
                     if "!" not in left["N"][1]:
-                        assert left["N"] == whole["N"]
+                        assert left["N"][:3] == whole["N"][:3] and sorted(left["N"][3].split("\n")) == sorted(whole["N"][3].split("\n"))
 
 
 @pytest.mark.parametrize("chunk", [8, 60, 8192])
@@ -81,6 +81,34 @@ def test_broken_at_any_chunk_size(spark, chunk):
     assert parsing.broken(*sources(spark, []), chunk=chunk).count() == 0
 
 
+def test_no_verdict_depends_on_the_chunk_size(spark, sf):
+    """All texts of the smallest tables, in which damaged ones are planted, and the same as the exact check of whole texts."""
+    files, texts = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("files", "source_texts"))
+    language = {r.id: r.language for r in files.where("file_source <> 'knowledge_base'").collect()}
+    want = {r.file_id for r in texts.collect() if language.get(r.file_id) in parsing.LANGUAGES and not parsing.is_valid(language[r.file_id], r.content or "")}
+    assert want
+    for chunk, group in ((64, 3), (500, 64), (8192, 64), (1 << 20, 64)):
+        assert {r.file_id for r in parsing.broken(files, texts, chunk, group).collect()} == want
+
+
+def test_late_facts_beyond_one_chunk(spark):
+    filler = {"python": "def f{0}(a):\n    return a\n\n\n", "javascript": "export function f{0}(a) {{ return a; }}\n", "typescript": "export function f{0}(a: any): any {{ return a; }}\n", "c": "int f{0}(int a) {{ return a; }}\n"}
+    long_ = {k: "".join(v.format(i) for i in range(400)) for k, v in filler.items()}
+    bad = [
+        ("python", long_["python"] + "from __future__ import annotations\n"), ("python", long_["python"] + "global f3\n"), ("javascript", long_["javascript"] + "export { f3 };\n"),
+        ("javascript", "export default 1;\n" + long_["javascript"] + "export default class {}\n"), ("c", "#define END 5\n" + long_["c"] + "int END;\n"), ("c", "#if 1\n" + long_["c"]), ("c", long_["c"] + "#endif\n"),
+    ]
+    good = [
+        ("python", "'d'\nfrom __future__ import annotations\n" + long_["python"]), ("typescript", long_["typescript"] + "export function f3(a: string): string;\n"), ("javascript", "export default 1;\n" + long_["javascript"]),
+        ("c", "#ifndef A\n#define A\n#define BEGIN {\n" + long_["c"] + "int g(void) BEGIN return 1; }\n#endif\n"), ("c", "typedef struct { int a; } node;\n" + long_["c"] + "int h(node *n) { return (node) *n, sizeof(node); }\n"),
+        ("c", "#if 0\n" + long_["c"] + "not c ( at all\n#endif\n"), ("javascript", "const t = `${[\n" + "  1,\n" * 4000 + "]}`;\n"), ("python", 'x = f"{"(" }"\n' + long_["python"]),
+    ]
+    rows = [(k, 1, "a", l, "project", t) for k, (l, t) in enumerate(bad + good)]
+    assert [parsing.is_valid(l, t) for l, t in bad + good] == [False] * len(bad) + [True] * len(good)
+    for chunk, group in ((100, 4), (4096, 2), (8192, 64)):
+        assert {r.file_id for r in parsing.broken(*sources(spark, rows), chunk=chunk, group=group).collect()} == set(range(len(bad)))
+
+
 def test_broken_looks_across_stretches(spark):
     lines = "x = 1\ny = 2\n" * 4
     bad = {
