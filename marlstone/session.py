@@ -46,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores, spread over all cores, for work in Python that outweighs the shuffle.
+
+    A scan of more splits, so any large table, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers of a local session find this package wherever the driver was started; a cluster has it installed."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
