@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import grammar_c, grammar_js
 from marlstone.llm.grammar_js import Invalid
-from marlstone.session import cut
+from marlstone.session import cut, spread
 
 LANGUAGES = ("python", "javascript", "typescript", "c")
 CHUNK = 8192
@@ -350,7 +350,7 @@ def _own(files: DataFrame) -> DataFrame:
 
 def broken(files: DataFrame, texts: DataFrame, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """(file_id): the files whose text isn't valid in their language."""
-    sources = texts.select("file_id", "content").where("content is not null").join(_own(files).select("file_id", "language"), "file_id")
+    sources = spread(texts.select("file_id", "content")).where("content is not null").join(_own(files).select("file_id", "language"), "file_id")
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(20_000)
@@ -418,6 +418,9 @@ def broken(files: DataFrame, texts: DataFrame, chunk: int = CHUNK, group: int =
         sys.setrecursionlimit(20_000)
         cols = ["file_id", "key", "language", "what", "name", "grp", "part", "text", "facts"]
         for (i, key, k), rows in runs(batches):
+            if not rows[0].fits:
+                yield pd.DataFrame([(i, key, rows[0].language, "bad", None, k, 0, None, None)], columns=cols)
+                continue
             first, language = k == 0, rows[0].language
             w = Walk(language, rows[0].state, rows[0].stack, rows[0].facts, first, True)
             for r in rows:
@@ -447,11 +450,11 @@ def broken(files: DataFrame, texts: DataFrame, chunk: int = CHUNK, group: int =
     short = sources.where(F.length("content") <= chunk).mapInPandas(one, "file_id long")
     long_ = sources.where(F.length("content") > chunk).withColumn("key", F.xxhash64("content"))
     text_of = "file_id long, language string, key long, grp int, chunk int, last boolean, text string"
-    chunks = long_.select("file_id", "language", "key", "content").mapInPandas(chop, text_of).repartition("file_id", "key", "grp")
     order = ["file_id", "key", "grp", "chunk"]
-    maps = chunks.sortWithinPartitions(*order).mapInPandas(summarise, "file_id long, key long, grp int, language string, last boolean, state string, end string, closed string, open string, facts string")
-    starts = cut(maps.groupBy("file_id", "key").applyInPandas(fold, "file_id long, key long, grp int, state string, stack string, facts string, fits boolean"))
-    placed = chunks.join(starts.where("fits").drop("fits"), ["file_id", "key", "grp"]).sortWithinPartitions(*order)
+    chunks = cut(long_.select("file_id", "language", "key", "content").mapInPandas(chop, text_of).repartition("file_id", "key", "grp").sortWithinPartitions(*order))
+    maps = chunks.mapInPandas(summarise, "file_id long, key long, grp int, language string, last boolean, state string, end string, closed string, open string, facts string")
+    starts = maps.groupBy("file_id", "key").applyInPandas(fold, "file_id long, key long, grp int, state string, stack string, facts string, fits boolean")
+    placed = chunks.join(starts, ["file_id", "key", "grp"]).sortWithinPartitions(*order)
     walked = cut(placed.mapInPandas(walk, "file_id long, key long, language string, what string, name string, grp int, part int, text string, facts string"))
     # A statement goes from one cut to the next, over any number of groups: gaps and islands, without the texts.
     pieces = walked.where("what = 'cut'")
@@ -461,7 +464,7 @@ def broken(files: DataFrame, texts: DataFrame, chunk: int = CHUNK, group: int =
     whole = whole.select("file_id", "key", "language", "stretch", F.array_join(F.col("all.text"), "").alias("text"), F.element_at("all", 1)["facts"].alias("facts"))
     seen = walked.where("what <> 'cut'").select("file_id", "key", "what", "name").unionByName(whole.mapInPandas(judged, "file_id long, key long, what string, name string"))
     counted = seen.groupBy("file_id", "key", "what", "name").agg(F.count("*").alias("n"))
-    doubtful = counted.where("what = 'bad' or n > 1").select("file_id").unionByName(starts.where("not fits").select("file_id")).distinct()
+    doubtful = counted.where("what = 'bad' or n > 1").select("file_id").distinct()
     again = long_.join(doubtful, "file_id", "left_semi").select("file_id", "language", "content").mapInPandas(exact, "file_id long")
     return short.unionByName(again).distinct()
 
