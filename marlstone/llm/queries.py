@@ -132,6 +132,11 @@ def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max(F.round(F.col("held") / F.col("words"), 6)).alias("most_held"))
 
 
+@query("p8_matches")
+def p8_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.longest_matches(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 @query("p8_clean")
 def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.clean(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id")

@@ -414,16 +414,44 @@ def test_token_count_equals_python(spark):
 
 # --- 8
 
-def test_search_equals_brute_force():
+def _mems(items, doc):
+    """(item, place in it, place in the text, words) of the matches that can't be made longer, by comparing all places."""
+    out = set()
+    for k, ws in items:
+        least = min(leaks.SEED, len(ws))
+        for j in range(len(ws)):
+            for p in range(len(doc)):
+                if j and p and doc[p - 1] == ws[j - 1]:
+                    continue
+                n = 0
+                while j + n < len(ws) and p + n < len(doc) and doc[p + n] == ws[j + n]:
+                    n += 1
+                if n >= least and least:
+                    out.add((k, j, p, n))
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_longest_matches_equal_brute_force(block, monkeypatch):
+    monkeypatch.setattr(leaks, "PAIR_BLOCK", block)
     rnd = random.Random(9)
-    items = [(k, [rnd.choice("abcdefgh") for _ in range(30)]) for k in range(6)]
+    items = [(k, [rnd.choice("abcdefgh") for _ in range(n)]) for k, n in enumerate((30, 30, 30, 90, 4, 3, 1, 0))]
+    items += [(8, items[0][1]), (9, ["same"] * 40)]
+    doc = [rnd.choice("abcdefghij") for _ in range(1500)] + items[3][1] + ["x"] + items[3][1][:50] + ["same"] * 25 + ["x", "same"]
     test = leaks.TestSet(items)
-    doc = [rnd.choice("abcdefghij") for _ in range(4000)]
     w = np.array([test.vocabulary.get(x, 0) for x in doc], np.int64)
-    query, place = leaks.search(test, w)
-    got = Counter((int(test.item[q]), int(test.place[q]), int(p)) for q, p in zip(query, place))
-    want = Counter((k, j, p) for k, ws in items for j in range(len(ws) - 3) for p in range(len(doc) - 3) if doc[p : p + 4] == ws[j : j + 4])
-    assert got == want and sum(want.values()) > 5
+    got = [(int(test.ids[test.item[q]]), int(test.place[q]), int(p), int(n)) for qs, ps, ns in leaks.matches(test, w) for q, p, n in zip(qs, ps, ns)]
+    assert len(set(got)) == len(got) and set(got) == _mems(items, doc)
+
+
+def test_suffix_array_is_in_order():
+    rnd = random.Random(3)
+    for longest in (8, 16, 100):
+        words_ = [rnd.randrange(0, 3) for _ in range(300)] + [1, 2] * 60
+        w = np.array(words_ + [0] * (longest + leaks._STEP), np.int64)
+        suffix = lambda p: [*words_[p : p + longest], 0][: ([*words_[p : p + longest], 0].index(0))]
+        sa = leaks.suffix_array(w, np.arange(len(words_)), longest)
+        assert sorted(sa) == list(range(len(words_))) and all(suffix(a) <= suffix(b) for a, b in zip(sa, sa[1:]))
 
 
 def test_leaks(spark):
@@ -443,9 +471,15 @@ def test_leaks(spark):
     e = spark.createDataFrame(items + [(99, "s", None), (None, "s", "x y z")], "item_id long, suite string, text string")
     want = {(1, 0), (2, 1), (3, 2), (9, 4), (10, 5)}
     assert {(r.doc_id, r.item_id) for r in leaks.find(d, e).collect()} == want
-    assert {(r.doc_id, r.item_id) for r in leaks.find(d, e, item_block=3).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leaks.find(d, e, block_words=200).collect()} == want
     assert {r.doc_id for r in leaks.clean(d, e).collect()} == {4, 5, 6, 7, 8}
     assert leaks.find(d.limit(0), e).count() == 0 and leaks.find(d, e.limit(0)).count() == 0
+    long_ = leaks.longest_matches(d, e)
+    assert (0, 50, len(leaks.words(items[0][2]))) in {(r.item_word, r.doc_word, r.matched) for r in long_.where("doc_id = 1 and item_id = 0").collect()}
+    # short items leak as a whole, a document far longer than its passages too
+    short = spark.createDataFrame([(1, "s", "one two"), (2, "s", "alpha beta gamma delta epsilon"), (3, "s", "solo")], "item_id long, suite string, text string")
+    texts = spark.createDataFrame([(1, "x one two y"), (2, "one x two"), (3, "ALPHA beta, gamma delta Epsilon!"), (4, "alpha beta gamma delta"), (5, "Solo")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.find(texts, short).collect()} == {(1, 1), (3, 2), (5, 3)}
 
 
 # --- 9
