@@ -20,29 +20,47 @@ def like_escape(s: Column) -> Column:
     return F.regexp_replace(s, r"([\\%_])", r"\\$1")
 
 
+# Letters and digits of any script, as words have them: Java's \w knows ASCII only.
+_W = r"\p{L}\p{N}_"
+_PATH = rf"(?m)(?:^|[\s'\"`(\x7b,])([a-zA-Z0-9_./-]+\.(?:{_ENDINGS}))(?:[\s'\"`)\x7d,:;]|$)"
+_NAMES = (r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b", r"\b([A-Za-z]\w+\.[a-z_]\w+)\b")
+_ERROR = r"^.*(?:Error:|Exception:|Traceback|at line)\s*.*$"
+_TASK_WORD = rf"(?:^|[^{_W}])([a-zA-Z_][{_W}]*)"
+
+
 def file_paths(text: Column) -> Column:
     """Paths in a text, between delimiters; the delimiter is used up, so of two paths one blank apart the first is found."""
-    return F.regexp_extract_all(text, F.lit(rf"(?:^|[\s\"'`(,])([\w./\\-]+\.(?:{_ENDINGS}))(?:$|[\s\"'`),:;])"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(_PATH), F.lit(1))
 
 
 def symbol_names(text: Column) -> Column:
     """CamelCase, snake_case and dotted names, sorted and distinct."""
-    names = [rf"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", rf"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b", rf"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)\b"]
-    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in names])))
+    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in _NAMES])))
 
 
 def error_lines(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?im)^.*\b(?:error|exception|traceback|failed)\b.*$"), F.lit(0))
+    """Lines that report an error; one that ends with the mark takes the next line along."""
+    return F.regexp_extract_all(text, F.lit("(?dim)" + _ERROR), F.lit(0))
 
 
 # Words that are no keywords.
-STOP = "the a an is are was were be been to of in for on with at by from and or not this that it its as if when then else do does can could should would will have has had into".split()
+STOP = (
+    "the a an is are was were be been being have has had do does did will would could should may might shall can need to of in "
+    "for on with at by from as into through during before after above below between out off over under again further then once here there "
+    "when where why how all each every both few more most other some such no nor not only own same so than too very just because but "
+    "and or if while about up it its this that these those i me my we our you your he she they them what which who whom"
+).split()
+
+
+def task_words(text: Column) -> Column:
+    """Lower-case words in order of first use."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TASK_WORD), F.lit(1)))
 
 
 def keywords(text: Column) -> Column:
-    """Lower-case words in order of first use, longer than two letters, without stop words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0)))
-    return F.array_except(F.filter(words, lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in STOP]))
+    """Words longer than two letters, without stop words and what else was taken out of the text: paths, names, error lines."""
+    taken = F.transform(F.concat(file_paths(text), symbol_names(text), error_lines(text)), lambda x: F.lower(x))
+    return F.array_except(F.array_except(F.filter(task_words(text), lambda w: F.length(w) > 2), taken), F.array(*[F.lit(w) for w in STOP]))
 
 
 def first_rule(words: Column, rules: dict[str, list[str]], default: str) -> Column:
@@ -54,7 +72,17 @@ def first_rule(words: Column, rules: dict[str, list[str]], default: str) -> Colu
 
 
 # Rules of the task types in order.
-TASK_RULES = {"bug_fix": ["fix", "bug", "error", "crash", "broken", "fail", "failing", "issue"], "refactor": ["refactor", "rename", "restructure", "extract", "clean", "cleanup", "simplify"], "test": ["test", "tests", "coverage"], "docs": ["document", "docs", "docstring", "readme"], "feature": ["add", "implement", "create", "new", "support", "introduce"]}
+TASK_RULES = {
+    "bug_fix": ["fix", "bug", "broken", "crash", "error", "issue", "wrong", "fail"],
+    "feature": ["add", "implement", "create", "new", "feature", "build", "introduce"],
+    "refactor": ["refactor", "rename", "restructure", "reorganize", "move", "extract", "clean"],
+    "test": ["test", "spec", "coverage", "assert", "unittest", "pytest"],
+    "docs": ["doc", "docs", "document", "readme", "comment", "docstring"],
+}
+
+
+def task_type(text: Column) -> Column:
+    return first_rule(task_words(text), TASK_RULES, "unknown")
 
 
 def comment_kind(c: Column) -> Column:
@@ -75,24 +103,33 @@ def docstring_format(c: Column) -> Column:
     )
 
 
+# How failures are told, in order of precedence.
+FAILURES = {
+    "compile_error": ["error:.*expected|undefined reference|implicit declaration", "gcc|clang|cc1|ld:.*error", "syntax error|parse error|redefinition"],
+    "test_failure": ["FAIL|FAILED|AssertionError|assert.*failed", r"test_\w+.*FAILED|pytest.*failed"],
+    "patch_failure": ["Patch.*failed|search.*not found|could not find"],
+}
+# How compilers tell that a name isn't declared, in order of precedence.
+UNDECLARED = [r"implicit declaration of function ['\"](\w+)['\"]", r"(?:use of undeclared identifier|'(\w+)' undeclared)", r"unknown type name ['\"](\w+)['\"]"]
+
+
 def failure_category(t: Column) -> Column:
-    """compile > test > patch > unknown."""
-    return (
-        F.when(t.rlike(r"(?i)\b(?:syntaxerror|undefined reference|undeclared|compilation (?:failed|error)|error: expected)\b"), "compile")
-        .when(t.rlike(r"(?i)\b(?:assertionerror|tests? failed|\d+ failed)\b|(?m)^FAILED\b"), "test").when(t.rlike(r"(?i)\b(?:search (?:string|text) not found|patch (?:failed|does not apply))\b"), "patch").otherwise("unknown")
-    )
+    out = F.lit("unknown")
+    for name, patterns in reversed(list(FAILURES.items())):
+        out = F.when(t.rlike("(?di)" + "|".join(patterns)), name).otherwise(out)
+    return out
 
 
 def failing_tests(t: Column) -> Column:
-    """Names after pytest's FAILED, else jest's crossed ones."""
-    a, b = F.regexp_extract_all(t, F.lit(r"(?m)^FAILED\s+(\S+)"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"(?m)^\s*[✕✗×]\s+(.+?)(?:\s+\(\d+\s*ms\))?$"), F.lit(1))
+    """What pytest's FAILED names, else what jest's FAIL does, in order."""
+    a, b = (F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in (r"FAILED\s+(\S+)", r"FAIL\s+(\S+)"))
     return F.when(F.size(a) > 0, a).otherwise(b)
 
 
-def undeclared_symbol(t: Column) -> Column:
-    """The name that a compiler doesn't know, by the first of three wordings that has one."""
-    pats = [r"['‘]([A-Za-z_]\w*)['’] undeclared", r"implicit declaration of function ['‘]([A-Za-z_]\w*)['’]", r"unknown type name ['‘]([A-Za-z_]\w*)['’]"]
-    return F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in pats])
+def undeclared_symbols(t: Column) -> Column:
+    """The names that a compiler doesn't know: the first of each wording, in order of precedence."""
+    names = F.array(*[F.nullif(F.regexp_extract(t, "(?i)" + p, 1), F.lit("")) for p in UNDECLARED])
+    return F.array_compact(names)
 
 
 def strip_thinking(t: Column, tag: str = "think") -> Column:

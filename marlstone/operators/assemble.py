@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.numbering import numbered
+
 
 def token_estimate(text: Column) -> Column:
     """A quarter of the code points, one at least."""
@@ -15,6 +17,21 @@ def conservative_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 3).cast("long")
 
 
+def framing_tokens(path: Column, language: Column, level: Column, has_metadata: Column) -> Column:
+    """What the frame of a file costs: its head line, code tags, and a line of metadata where there is one."""
+    head = F.concat(F.lit("## "), path, F.lit(" ["), language, F.lit("] ("), level, F.lit(")\n"))
+    tags = F.concat(F.lit('<code lang="'), language, F.lit('">\n</code>\n'))
+    # Fixed value: the line of metadata is reckoned with 29 characters.
+    return F.floor((F.length(head) + F.length(tags) + F.when(has_metadata, 29).otherwise(0)) / 4).cast("long")
+
+
+def final_order(df: DataFrame, level: str = "level", tier: str = "tier", key: str = "file_id") -> DataFrame:
+    """Files as a package shows them: primary, supporting, type_context, then by tier; `place` is the number in that order."""
+    rank = F.when(F.col(level) == "primary", 0).when(F.col(level) == "supporting", 1).when(F.col(level) == "type_context", 2)
+    ranked = df.withColumn("_rank", rank).where("_rank is not null")
+    return numbered(ranked, "_rank", tier, key).withColumnRenamed("num", "place").drop("_rank")
+
+
 def effective_budget(window: Column, reserved: Column) -> Column:
     return F.floor((window - reserved) * 0.9).cast("long")
 

@@ -19,9 +19,8 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     sizes = sorted((r["p"], r["n"]) for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
     offsets, total = [], 0
     for p, n in sizes:
-        offsets += [F.lit(p), F.lit(total).cast("long")]
+        offsets.append((p, total))
         total += n
-    if not offsets:
-        return ordered.withColumn("num", F.lit(0).cast("long")).drop("_place")
-    start = F.element_at(F.create_map(*offsets), part)
-    return ordered.withColumn("num", (start + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_place")
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _start long"))  # one row a partition
+    num = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn("_part", part).join(starts, "_part").withColumn("num", num.cast("long")).drop("_place", "_part", "_start")

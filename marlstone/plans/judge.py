@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,17 +29,21 @@ def by_answers(items: DataFrame, text: str) -> DataFrame:
 
 
 def by_function(items: DataFrame, judge: Callable[[pd.DataFrame], list[bool | None]]) -> DataFrame:
-    """A batch predicate; an exception or None denies. Cheap filters belong before this."""
+    """A batch predicate; an exception or None denies, and `failure` says which exception. Cheap filters belong before this."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            why = None
             try:
                 said = list(judge(b))
-            except Exception:
-                said = [None] * len(b)
-            yield b.assign(verdict=[bool(x) for x in said], omitted=[x is None for x in said])
-
-    return items.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", verdict boolean, omitted boolean")
+                if len(said) != len(b):
+                    raise ValueError(f"{len(said)} verdicts for {len(b)} rows")
+            except Exception as e:
+                said, why = [None] * len(b), f"{type(e).__name__}: {e}"
+                logging.getLogger(__name__).warning("a batch of %d rows is denied: %s", len(b), why)
+            yield b.assign(verdict=[bool(x) for x in said], omitted=[x is None for x in said], failure=why)
+
+    return items.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", verdict boolean, omitted boolean, failure string")
 
 
 def fits(prompt: Column, system: Column, window: int, max_tokens: int) -> Column:

@@ -27,11 +27,15 @@ def fan_in(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def keyword_matches(meta: DataFrame, words: DataFrame, top: int = 5) -> DataFrame:
-    """(file_id, score): the longest keywords (word, pos) that a file's concepts contain; a longer and earlier one scores more."""
-    n = words.agg(F.count("*").alias("n"))
-    best = words.orderBy(F.desc(F.length("word")), "pos").limit(top).crossJoin(n)  # at most `top` rows
+    """(file_id, score): the longest keywords (word, pos) that a file's concepts contain.
+
+    Of the `top` longest (text order among equals) each scores ten times its length and one more for each kept word from it on.
+    """
+    best = words.orderBy(F.desc(F.length("word")), "pos").limit(top)  # at most `top` rows: one task may order them
+    from_end = Window.orderBy(F.length("word"), F.desc("pos"))
+    best = best.select("word", (F.length("word") * 10 + F.row_number().over(from_end)).alias("worth"))
     hits = meta.join(F.broadcast(best), F.contains(F.lower("concepts"), F.lower("word")))
-    return hits.groupBy("file_id").agg(F.max(F.length("word") * 10 + F.col("n") - F.col("pos")).alias("score"))
+    return hits.groupBy("file_id").agg(F.max("worth").alias("score"))
 
 
 def expand_scope(plan: DataFrame, seeds: DataFrame, edges: DataFrame, co_changes: DataFrame, meta: DataFrame, words: DataFrame, max_deps: int = 30, max_co: int = 20, max_meta: int = 20, min_count: int = 2) -> DataFrame:

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import apply_edits, toml_escape, undeclared_symbol
+from marlstone.functions.text import apply_edits, toml_escape, undeclared_symbols
 from marlstone.operators.graph import components
+from marlstone.operators.numbering import numbered
 
-# Headers that declare common names of the C library.
+# Headers that declare names of the C library.
 HEADERS = {
-    "stdio.h": "printf fprintf sprintf snprintf scanf sscanf fopen fclose fread fwrite fgets fputs puts putchar getchar perror FILE stdin stdout stderr EOF",
-    "stdlib.h": "malloc calloc realloc free exit abort atoi atol atof strtol strtoul strtod qsort bsearch rand srand getenv system EXIT_SUCCESS EXIT_FAILURE",
-    "string.h": "strlen strcpy strncpy strcat strncat strcmp strncmp strchr strrchr strstr memcpy memmove memset memcmp strdup strtok strerror",
-    "stdint.h": "int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t intptr_t uintptr_t SIZE_MAX INT32_MAX UINT32_MAX",
-    "stdbool.h": "bool true false", "stddef.h": "size_t ptrdiff_t NULL offsetof", "ctype.h": "isalpha isdigit isspace isalnum isupper islower toupper tolower ispunct",
-    "math.h": "sqrt pow sin cos tan floor ceil fabs log log10 exp fmod", "errno.h": "errno ENOMEM EINVAL ENOENT ERANGE", "time.h": "time clock difftime strftime localtime gmtime time_t",
-    "assert.h": "assert", "limits.h": "INT_MAX INT_MIN LONG_MAX LONG_MIN CHAR_BIT UINT_MAX", "signal.h": "signal raise SIGINT SIGTERM", "stdarg.h": "va_list va_start va_end va_arg",
-}
+    "stdio.h": "printf fprintf sprintf snprintf scanf fscanf sscanf fopen fclose fread fwrite fgets fputs puts getchar putchar fflush fseek ftell rewind perror remove rename tmpfile fgetc fputc ungetc feof ferror clearerr vprintf vfprintf vsprintf vsnprintf FILE EOF stdin stdout stderr",
+    "stdlib.h": "malloc calloc realloc free atoi atol atof strtol strtoul strtod strtof strtold abs labs div ldiv rand srand exit abort atexit system getenv qsort bsearch EXIT_SUCCESS EXIT_FAILURE RAND_MAX NULL size_t",
+    "string.h": "memcpy memmove memset memcmp memchr strlen strcpy strncpy strcat strncat strcmp strncmp strchr strrchr strstr strtok strerror strdup",
+    "math.h": "sin cos tan asin acos atan atan2 sinh cosh tanh exp log log10 pow sqrt ceil floor fabs fmod round trunc INFINITY NAN HUGE_VAL M_PI",
+    "ctype.h": "isalpha isdigit isalnum isspace isupper islower toupper tolower isprint ispunct isxdigit",
+    "assert.h": "assert",
+    "errno.h": "errno ERANGE EDOM",
+    "limits.h": "INT_MAX INT_MIN UINT_MAX LONG_MAX LONG_MIN CHAR_MAX CHAR_MIN SCHAR_MAX",
+    "stdbool.h": "bool true false",
+    "stdint.h": "int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t SIZE_MAX INT64_MAX UINT64_MAX",
+    "stddef.h": "ptrdiff_t offsetof",
+    "time.h": "time clock difftime mktime strftime localtime gmtime time_t clock_t CLOCKS_PER_SEC",
+    "signal.h": "signal raise SIGINT SIGTERM SIGSEGV",
+    "setjmp.h": "setjmp longjmp jmp_buf",
+}
 
 
 def parts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(part, files, description): components of changes named p1..pn by their least member; the first description is kept."""
     c = components(edges, nodes.select("node")).join(nodes, "node")
     g = c.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("files"), F.min_by("description", "node").alias("description"))
-    # One row per part, ordered by the least member: parts are few, the window holds their ids only.
-    return g.select(F.concat(F.lit("p"), F.dense_rank().over(Window.orderBy("component"))).alias("part"), "files", "description")
+    return numbered(g, "component").select(F.concat(F.lit("p"), F.col("num") + 1).alias("part"), "files", "description")
 
 
 def adjust(steps: DataFrame, failures: DataFrame, verdicts: DataFrame) -> dict[str, DataFrame]:
@@ -49,11 +56,12 @@ def simulate_edits(texts: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def missing_headers(errors: DataFrame, texts: DataFrame) -> DataFrame:
-    """(path, symbol, header): undeclared names of compiler messages (path, message) that a header not yet included declares."""
+    """(path, symbol, header): of each compiler message (path, message) the first undeclared name that a header not yet included declares."""
     table = errors.sparkSession.createDataFrame([(s, f"<{h}>") for h, names in HEADERS.items() for s in names.split()], "symbol string, header string")
-    e = errors.select("path", undeclared_symbol(F.col("message")).alias("symbol")).where("symbol is not null").distinct()
+    e = errors.distinct().select("path", "message", F.posexplode(undeclared_symbols(F.col("message"))).alias("pos", "symbol"))
     hit = e.join(F.broadcast(table), "symbol")  # a fixed table
-    return hit.join(texts.select("path", "content"), "path").where(~F.contains("content", F.concat(F.lit("#include "), "header"))).select("path", "symbol", "header")
+    open_ = hit.join(texts.select("path", "content"), "path").where(~F.contains("content", F.concat(F.lit("#include "), "header")))
+    return open_.groupBy("path", "message").agg(F.min_by(F.struct("symbol", "header"), "pos").alias("first")).select("path", "first.symbol", "first.header").distinct()
 
 
 def error_class(deterministic: Column, *answers: tuple[str, Column]) -> Column:

@@ -13,7 +13,7 @@ from marlstone.registry import query
 from marlstone.sources import documents
 from marlstone.streaming import log
 
-_SEEDS = "language = 'c' AND repo_id % 5 = 0"
+_SEEDS = "file_id % 100 = 0"  # the stated query set, against all rows
 
 
 @query("g1_expand", f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), r AS (SELECT file_id AS node, 0 AS hops FROM f WHERE {_SEEDS} UNION SELECT b.y, r.hops + 1 FROM r JOIN b ON b.x = r.node WHERE r.hops < 2)
@@ -57,20 +57,20 @@ _WORDS = ["registry", "cache", "ledger", "audit", "parser", "task", "view"]
 
 @query(
     "g5_scope_tiers",
-    f"""WITH {EDGES}, {_CF_ONLY}, {_CO}, base AS (SELECT file_id, min(tier) AS tier FROM (SELECT file_id, 0 AS tier FROM f WHERE file_id % 97 = 0 UNION ALL SELECT DISTINCT file_id, 1 FROM symbols WHERE name ILIKE '%merge%' AND file_id IN (SELECT file_id FROM f)) GROUP BY 1),
+    f"""WITH {EDGES}, {_CF_ONLY}, {_CO}, base AS (SELECT file_id, min(tier) AS tier FROM (SELECT file_id, 0 AS tier FROM f WHERE file_id % 100 = 0 UNION ALL SELECT DISTINCT file_id, 1 FROM symbols WHERE name ILIKE '%merge%' AND file_id IN (SELECT file_id FROM f)) GROUP BY 1),
     fan AS (SELECT dst AS file_id, count(DISTINCT src) AS score FROM e WHERE src IN (SELECT file_id FROM base) GROUP BY 1 UNION ALL SELECT src, count(DISTINCT dst) FROM e WHERE dst IN (SELECT file_id FROM base) GROUP BY 1),
     t2 AS (SELECT file_id, max(score) AS score FROM fan WHERE file_id NOT IN (SELECT file_id FROM base) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30), h2 AS (SELECT file_id FROM base UNION ALL SELECT file_id FROM t2),
     near AS (SELECT a AS src, b AS dst, n FROM co UNION ALL SELECT b, a, n FROM co),
     t3 AS (SELECT dst AS file_id, max(n) AS score FROM near WHERE src IN (SELECT file_id FROM base) AND dst NOT IN (SELECT file_id FROM h2) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), h3 AS (SELECT file_id FROM h2 UNION ALL SELECT file_id FROM t3),
-    kw AS (SELECT w.word, w.pos FROM (SELECT unnest({_WORDS!r}) AS word, unnest(range({len(_WORDS)})) AS pos) w ORDER BY length(word) DESC, pos LIMIT 5),
-    t4 AS (SELECT file_id, max(length(word) * 10 + {len(_WORDS)} - pos) AS score FROM f JOIN kw ON contains(lower(path), word) WHERE file_id NOT IN (SELECT file_id FROM h3) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
+    kw AS (SELECT word, length(word) * 10 + row_number() OVER (ORDER BY length(word), pos DESC) AS worth FROM (SELECT w.word, w.pos FROM (SELECT unnest({_WORDS!r}) AS word, unnest(range({len(_WORDS)})) AS pos) w ORDER BY length(word) DESC, pos LIMIT 5)),
+    t4 AS (SELECT file_id, max(worth) AS score FROM f JOIN kw ON contains(lower(path), word) WHERE file_id NOT IN (SELECT file_id FROM h3) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
     SELECT file_id, tier, CAST(NULL AS BIGINT) AS score FROM base UNION ALL SELECT file_id, 2, CAST(score AS BIGINT) FROM t2 UNION ALL SELECT file_id, 3, CAST(score AS BIGINT) FROM t3 UNION ALL SELECT file_id, 4, CAST(score AS BIGINT) FROM t4""",
 )
 def g5(s, d):
     # A plan names some files and a task mentions a symbol name; both are the query's inputs, every table is read whole.
     f = files(s, d)
     tracked = commit_files(s, d).join(f.select("repo_id", "path", "file_id"), ["repo_id", "path"]).select("commit_id", "file_id")
-    plan = f.where("file_id % 97 = 0").select("file_id")
+    plan = f.where("file_id % 100 = 0").select("file_id")
     seeds = symbols(s, d).where(F.lower("name").contains("merge")).select("file_id").distinct().join(f.select("file_id"), "file_id", "left_semi")
     words = s.createDataFrame([(w, k) for k, w in enumerate(_WORDS)], "word string, pos int")
     return scope.expand_scope(plan, seeds, edges(s, d), co_changes(tracked, "commit_id", "file_id"), f.select("file_id", F.col("path").alias("concepts")), words)

@@ -9,7 +9,7 @@ from marlstone.catalog import table
 from marlstone.functions import text as X
 from marlstone.operators import assemble, lookup, rows, similarity
 from marlstone.operators.history import co_changes
-from marlstone.plans import audit, judge, solve
+from marlstone.plans import audit, judge, scope, solve
 from marlstone.queries.graph import _CF_ONLY, _CO
 from marlstone.queries.index import COMMITS, EDGES, FILES, SYMBOLS, commit_files, commits, edges, files, symbols
 from marlstone.registry import query
@@ -92,12 +92,18 @@ def j10(s, d):
     return x.join(y, (F.col("x.file_id") == F.col("y.file_id")) & (F.col("x.name") == F.col("y.name")) & (F.col("x.id") != F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-@query("j14_header_of_name", "SELECT file_id, '<stddef.h>' AS header FROM source_texts WHERE contains(content, 'size_t') AND NOT contains(content, '#include <stddef.h>') AND file_id IN (SELECT id FROM files WHERE language = 'c')")
+_HEADERS = ", ".join(f"('{n}', '<{h}>')" for h, names in solve.HEADERS.items() for n in names.split())
+
+
+@query("j14_header_of_name", f"""WITH h(symbol, header) AS (VALUES {_HEADERS}), t AS (SELECT DISTINCT file_id, content FROM source_texts WHERE file_id IN (SELECT id FROM files WHERE language = 'c')),
+    w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*')) AS symbol FROM t) SELECT file_id, symbol, header FROM w JOIN h USING (symbol) JOIN t USING (file_id) WHERE NOT contains(content, '#include ' || header)""")
 def j14(s, d):
-    c = files(s, d).where("language = 'c'").select("file_id")
-    t = table(s, d, "source_texts").join(c, "file_id", "left_semi").select(F.col("file_id").alias("path"), "content")
-    errors = t.where(F.contains("content", F.lit("size_t"))).select("path", F.lit("error: unknown type name 'size_t'").alias("message"))
-    return solve.missing_headers(errors, t).select(F.col("path").alias("file_id"), "header")
+    """Each name in a C source as a compiler would report it were it not declared."""
+    c = files(s, d).where("language = 'c'").select("file_id").distinct()
+    t = table(s, d, "source_texts").join(c, "file_id", "left_semi").select(F.col("file_id").alias("path"), "content").distinct()
+    names = t.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
+    errors = names.select("path", F.concat(F.lit("a.c:3: warning: implicit declaration of function '"), "name", F.lit("' [-W]")).alias("message"))
+    return solve.missing_headers(errors, t).withColumnRenamed("path", "file_id")
 
 
 @query("j16_not_yet_done", f"WITH {FILES} SELECT file_id FROM f WHERE path NOT IN (SELECT regexp_extract(prompt, 'File: (\\S+)', 1) FROM retrieval_llm_calls WHERE prompt IS NOT NULL)")
@@ -176,15 +182,28 @@ def u7(s, d):
     return table(s, d, "retrieval_llm_calls").select("task_id", "id").distinct().groupBy("task_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-@query("st10_failure_category", rf"""SELECT DISTINCT id, CASE WHEN regexp_matches(response, '(?i)\b(?:syntaxerror|undefined reference|undeclared|compilation (?:failed|error)|error: expected)\b') THEN 'compile' WHEN regexp_matches(response, '(?i)\b(?:assertionerror|tests? failed|\d+ failed)\b|(?m)^FAILED\b') THEN 'test'
-    WHEN regexp_matches(response, '(?i)\b(?:search (?:string|text) not found|patch (?:failed|does not apply))\b') THEN 'patch' ELSE 'unknown' END AS category FROM ({_CALLS})""")
+_FAILED = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){'|'.join(ps)}') THEN '{k}'" for k, ps in X.FAILURES.items()) + " ELSE 'unknown' END"
+_REPORTS = "SELECT DISTINCT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL"
+
+
+def _reports(s, d):
+    """The texts that may report failures: logs and discussions among the documents."""
+    return table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("t")).distinct()
+
+
+@query("st10_failure_category", f"SELECT id, {_FAILED} AS category FROM ({_REPORTS})")
 def st10(s, d):
-    return table(s, d, "retrieval_llm_calls").select("id", X.failure_category(F.col("response")).alias("category")).distinct()
+    return _reports(s, d).select("id", X.failure_category(F.col("t")).alias("category"))
 
 
-@query("st11_failing_tests", rf"SELECT DISTINCT id, len(regexp_extract_all(response, '(?m)^FAILED\s+(\S+)', 1)) AS n FROM ({_CALLS}) WHERE response IS NOT NULL")
+@query("st11_undeclared", f"SELECT id, list_filter([{', '.join(f"nullif(regexp_extract(t, '(?i){p.replace(chr(39), chr(39) * 2)}', 1), '')" for p in X.UNDECLARED)}], lambda x: x IS NOT NULL) AS names FROM ({_REPORTS})")
 def st11(s, d):
-    return table(s, d, "retrieval_llm_calls").where("response is not null").select("id", F.size(X.failing_tests(F.col("response"))).cast("long").alias("n")).distinct()
+    return _reports(s, d).select("id", X.undeclared_symbols(F.col("t")).alias("names"))
+
+
+@query("st12_failing_tests", rf"SELECT id, CASE WHEN regexp_matches(t, 'FAILED\s+\S') THEN regexp_extract_all(t, 'FAILED\s+(\S+)', 1) ELSE regexp_extract_all(t, 'FAIL\s+(\S+)', 1) END AS names FROM ({_REPORTS})")
+def st12(s, d):
+    return _reports(s, d).select("id", X.failing_tests(F.col("t")).alias("names"))
 
 
 @query("st19_normal_paths", rf"WITH {COMMITS} SELECT DISTINCT replace(p, '\', '/') AS path FROM (SELECT unnest(changed_files) AS p FROM c)")
@@ -197,9 +216,14 @@ def st22(s, d):
     return table(s, d, "docstrings").where("content is not null").select("id", X.toml_escape(F.col("content")).alias("text")).distinct()
 
 
-@query("nu5_specificity", "SELECT DISTINCT id, length(name) * 10 + (id % 7) AS score FROM symbols")
+_TERM_LIST = ["registry", "cache", "ledger", "audit", "parser", "task", "view"]
+_BEST = f"SELECT word, length(word) * 10 + row_number() OVER (ORDER BY length(word), pos DESC) AS worth FROM (SELECT word, pos FROM (SELECT unnest({_TERM_LIST!r}) AS word, unnest(range({len(_TERM_LIST)})) AS pos) ORDER BY length(word) DESC, pos LIMIT 5)"
+
+
+@query("nu5_specificity", f"WITH {FILES}, kw AS ({_BEST}) SELECT file_id, max(worth) AS score FROM f JOIN kw ON contains(lower(path), word) GROUP BY 1")
 def nu5(s, d):
-    return table(s, d, "symbols").select("id", (F.length("name") * 10 + F.col("id") % 7).alias("score")).distinct()
+    words = s.createDataFrame([(w, k) for k, w in enumerate(_TERM_LIST)], "word string, pos int")
+    return scope.keyword_matches(files(s, d).select("file_id", F.col("path").alias("concepts")), words)
 
 
 @query("nu6_num_predict", f"SELECT id, greatest(1, 8192 - length(prompt) // 3 - 256) AS num_predict, (length(prompt) + coalesce(length(system_prompt), 0)) // 3 <= 8192 - 512 AS fits FROM ({_CALLS})")
@@ -257,3 +281,20 @@ def g11(s, d):
     verdicts = c.select(F.col("task_id").alias("step"), F.lit(None).cast("string").alias("failure"), (F.lower("response") == "yes").alias("yes"))
     failures = c.where("response = ''").select(F.col("task_id").alias("failure")).distinct()
     return solve.adjust(steps, failures.unionByName(s.createDataFrame([("none",)], "failure string")), verdicts)["steps"]
+
+
+_LEVEL = "CASE WHEN s.size_bytes > 3000 THEN 'primary' WHEN s.size_bytes > 1000 THEN 'supporting' WHEN s.size_bytes > 0 THEN 'type_context' ELSE 'excluded' END"
+
+
+@query("nu2_framing_tokens", f"WITH {FILES} SELECT file_id, (length('## ' || path || ' [' || language || '] (supporting)' || chr(10)) + length('<code lang=\"' || language || '\">' || chr(10) || '</code>' || chr(10)) + CASE WHEN file_source = 'library' THEN 29 ELSE 0 END) // 4 AS tokens FROM f")
+def nu2(s, d):
+    f = files(s, d)
+    return f.select("file_id", assemble.framing_tokens(F.col("path"), F.col("language"), F.lit("supporting"), F.col("file_source") == "library").alias("tokens"))
+
+
+@query("t8_final_order", f"""WITH {FILES}, x AS (SELECT file_id, repo_id % 5 AS tier, {_LEVEL} AS level FROM f AS s) SELECT file_id, level, tier, row_number() OVER (ORDER BY CASE level WHEN 'primary' THEN 0 WHEN 'supporting' THEN 1 ELSE 2 END, tier, file_id) - 1 AS place
+    FROM x WHERE level <> 'excluded'""")
+def t8(s, d):
+    """All files, with a level by their size and a tier by their repository."""
+    level = F.expr(_LEVEL.replace("s.", ""))
+    return assemble.final_order(files(s, d).select("file_id", level.alias("level"), (F.col("repo_id") % 5).alias("tier")))

@@ -14,22 +14,30 @@ def calls(s, d):
     return table(s, d, "retrieval_llm_calls").select("id", "prompt", "response", "system_prompt").distinct()
 
 
-@query("st2_file_paths", r"""SELECT id, p AS path FROM (SELECT DISTINCT id, unnest(regexp_extract_all(prompt, '(?:^|[\s"''`(,])([\w./\\-]+\.(?:tsx|ts|jsx|js|mjs|cjs|py|c|h))(?:$|[\s""''`),:;])', 1)) AS p FROM retrieval_llm_calls)""")
+# The SQL of RE2: names and lines that the task functions take out of a prompt.
+_P_PATHS = r"""regexp_extract_all(prompt, '(?m)(?:^|[\s''"`(\x7b,])([a-zA-Z0-9_./-]+\.(?:tsx|ts|jsx|js|mjs|cjs|py|c|h))(?:[\s''"`)\x7d,:;]|$)', 1)"""
+_P_NAMES = r"""list_concat(list_concat(regexp_extract_all(prompt, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1), regexp_extract_all(prompt, '\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b', 1)), regexp_extract_all(prompt, '\b([A-Za-z]\w+\.[a-z_]\w+)\b', 1))"""
+_P_ERRORS = r"""regexp_extract_all(prompt, '(?im)^.*(?:Error:|Exception:|Traceback|at line)\s*.*$')"""
+_P_WORDS = r"""regexp_extract_all(lower(prompt), '(?:^|[^\p{L}\p{N}_])([a-zA-Z_][\p{L}\p{N}_]*)', 1)"""
+
+
+@query("st2_file_paths", f"SELECT id, p AS path FROM (SELECT DISTINCT id, unnest({_P_PATHS}) AS p FROM retrieval_llm_calls)")
 def st2(s, d):
     return calls(s, d).select("id", F.explode(X.file_paths(F.col("prompt"))).alias("path")).distinct()
 
 
-@query("st3_symbol_names", r"SELECT DISTINCT id, list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(prompt, '\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b', 1), regexp_extract_all(prompt, '\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b', 1)), regexp_extract_all(prompt, '\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)\b', 1)))) AS names FROM retrieval_llm_calls")
+@query("st3_symbol_names", f"SELECT DISTINCT id, list_sort(list_distinct({_P_NAMES})) AS names FROM retrieval_llm_calls")
 def st3(s, d):
     return calls(s, d).select("id", X.symbol_names(F.col("prompt")).alias("names"))
 
 
-@query("st4_error_lines", r"SELECT DISTINCT id, len(regexp_extract_all(prompt, '(?im)^.*\b(?:error|exception|traceback|failed)\b.*$')) AS n FROM retrieval_llm_calls")
+@query("st4_error_lines", f"SELECT DISTINCT id, {_P_ERRORS} AS lines FROM retrieval_llm_calls")
 def st4(s, d):
-    return calls(s, d).select("id", F.size(X.error_lines(F.col("prompt"))).cast("long").alias("n"))
+    return calls(s, d).select("id", X.error_lines(F.col("prompt")).alias("lines")).distinct()
 
 
-@query("st5_keywords", f"SELECT DISTINCT id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(prompt), '[a-z_][a-z0-9_]*')), lambda w: length(w) > 2 AND NOT list_contains({X.STOP!r}, w))) AS words FROM retrieval_llm_calls")
+@query("st5_keywords", f"""SELECT DISTINCT id, list_sort(list_filter(list_distinct({_P_WORDS}), lambda w: length(w) > 2 AND NOT list_contains({X.STOP!r}, w)
+    AND NOT list_contains(list_transform(list_concat(list_concat({_P_PATHS}, {_P_NAMES}), {_P_ERRORS}), lambda x: lower(x)), w))) AS words FROM retrieval_llm_calls""")
 def st5(s, d):
     return calls(s, d).select("id", F.array_sort(X.keywords(F.col("prompt"))).alias("words"))
 
@@ -37,9 +45,9 @@ def st5(s, d):
 _RULES = "CASE " + " ".join(f"WHEN list_has_any(w, {ws!r}) THEN '{k}'" for k, ws in X.TASK_RULES.items()) + " ELSE 'unknown' END"
 
 
-@query("st6_task_type", f"SELECT id, {_RULES} AS task_type FROM (SELECT DISTINCT id, regexp_extract_all(lower(prompt), '[a-z_][a-z0-9_]*') AS w FROM retrieval_llm_calls)")
+@query("st6_task_type", f"SELECT id, {_RULES} AS task_type FROM (SELECT DISTINCT id, {_P_WORDS} AS w FROM retrieval_llm_calls)")
 def st6(s, d):
-    return calls(s, d).select("id", X.first_rule(X.keywords(F.col("prompt")), X.TASK_RULES, "unknown").alias("task_type"))
+    return calls(s, d).select("id", X.task_type(F.col("prompt")).alias("task_type"))
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ def session(cpus: int | str | None = None, app: str = "marlstone") -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
+    """Use the cluster's ``spark.checkpoint.dir``; a local session without one, as in tests, gets a folder that is deleted at the end."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
@@ -35,7 +37,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         spark.sparkContext.setCheckpointDir(shared)
     elif spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="marlstone-checkpoint-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 

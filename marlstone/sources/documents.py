@@ -57,7 +57,21 @@ def clean_section(c: Column) -> Column:
 
 
 # Words that point to a domain, in order of preference.
-DOMAINS = {"pointers": ["pointer", "dereference", "address of"], "memory_management": ["malloc", "free(", "heap", "memory"], "io": ["printf", "file", "stream", "stdin"], "concurrency": ["thread", "mutex", "atomic", "lock"], "strings": ["string", "strlen", "char array"], "control_flow": ["loop", "switch", "goto", "branch"], "types": ["struct", "enum", "typedef", "union"]}
+DOMAINS = {
+    "pointers": ["pointer", "address", "dereference", "indirection", "->"],
+    "memory_management": ["malloc", "calloc", "realloc", "free", "alloc", "memory", "heap", "stack", "storage duration"],
+    "io": ["printf", "scanf", "fprintf", "fscanf", "fopen", "fclose", "fread", "fwrite", "stdin", "stdout", "stderr", "input", "output", "stream", "file", "getchar", "putchar", "fgets", "fputs"],
+    "strings": ["string", "strlen", "strcpy", "strcat", "strcmp", "strncpy", "strncat", "strstr", "strtok", "char array", "null terminator"],
+    "control_flow": ["if-else", "switch", "while", "for", "do-while", "break", "continue", "goto", "loop", "branch", "jump"],
+    "data_types": ["int", "char", "float", "double", "long", "short", "unsigned", "signed", "enum", "typedef", "struct", "union", "size_t", "void", "type", "conversion", "cast"],
+    "preprocessor": ["preprocessor", "#define", "#include", "#ifdef", "#ifndef", "#if", "#else", "#endif", "macro", "#pragma"],
+    "concurrency": ["thread", "mutex", "lock", "semaphore", "atomic", "race condition", "deadlock", "concurrent", "pthread", "condition variable"],
+    "networking": ["socket", "bind", "listen", "accept", "connect", "send", "recv", "tcp", "udp", "ip", "port", "network", "client", "server"],
+    "systems": ["system call", "syscall", "process", "fork", "exec", "pipe", "signal", "interrupt", "kernel", "operating system", "os", "virtual memory", "page", "scheduling"],
+    "data_structures": ["linked list", "tree", "hash table", "queue", "stack", "array", "table", "binary", "node", "graph"],
+    "error_handling": ["error", "errno", "perror", "strerror", "exception", "assert", "abort", "exit"],
+    "bit_operations": ["bitwise", "bit", "shift", "mask", "xor", "complement", "twos complement"],
+}
 
 
 def section_metadata(df: DataFrame, id_col: str, title: str, content: str) -> DataFrame:
@@ -72,7 +86,7 @@ def section_metadata(df: DataFrame, id_col: str, title: str, content: str) -> Da
     standard = F.nullif(F.upper(F.regexp_extract(F.left(content, F.lit(2000)), r"(?i)\b(c(?:89|90|99|11|17|23))\b", 1)), F.lit(""))
     return (
         df.withColumn("_head", head).withColumn("_hits", hits)
-        .select(F.col(id_col).alias("id"), F.when(top["n"] > 0, top["domain"]).alias("domain"), F.array_sort(F.filter(words, lambda x: x.isNotNull())).alias("concepts"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"<\w+\.h>"), F.lit(0)))).alias("headers"), standard.alias("c_standard"))
+        .select(F.col(id_col).alias("id"), F.when(top["n"] > 0, top["domain"]).alias("domain"), F.array_sort(F.array_distinct(F.filter(words, lambda x: x.isNotNull()))).alias("concepts"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(content), F.lit(r"<\w+\.h>"), F.lit(0)))).alias("headers"), standard.alias("c_standard"))
     )
 
 

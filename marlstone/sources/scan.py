@@ -14,7 +14,7 @@ from marlstone.functions.text import LANGUAGE_OF, language
 from marlstone.operators.history import parse_log
 
 # Folders and endings that are never scanned.
-SKIP_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", ".tox", ".mypy_cache")
+SKIP_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", ".marlstone", "dist", "build", ".eggs")
 SKIP_ENDINGS = (".pyc", ".min.js", ".min.css", ".map")
 LIBRARY_SKIP_DIRS = ("tests", "test", "_vendor", "examples", "docs", "testing", "benchmarks")
 MAX_BYTES, MAX_LIBRARY_BYTES = 1 << 20, 512 << 10

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marlstone.session import ensure_checkpoint_dir
+
 
 def read(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A folder or file of parquet as a stream, with the schema of what lies there."""
@@ -54,8 +56,17 @@ def running_max(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream until what is there has been read, and give the rows of its memory sink (tests and small results)."""
-    name = f"drain_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream until what is there has been read, and give its rows: all updates, or the last complete result.
+
+    Every batch is written to the checkpoint folder, which all executors share; the driver holds no rows.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/drain-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows" if mode == "complete" else f"{at}/rows/batch={number}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{at}/rows").select(*df.columns)

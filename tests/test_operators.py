@@ -165,7 +165,16 @@ def test_judges_deny_by_default(spark):
     def broken(b):
         raise ValueError
 
-    assert {(r.verdict, r.omitted) for r in judge.by_function(df, broken).collect()} == {(False, True)}
+    assert {(r.verdict, r.omitted, r.failure) for r in judge.by_function(df, broken).collect()} == {(False, True, "ValueError: ")}
+
+
+def test_keywords_are_worth_their_length_and_rank(spark):
+    meta = spark.createDataFrame([(1, "registry"), (2, "a cache of tasks"), (3, "x"), (4, None)], "file_id long, concepts string")
+    words = spark.createDataFrame([(w, k) for k, w in enumerate(["view", "cache", "task", "registry", "parser", "ledger", "go"])], "word string, pos int")
+    # kept are registry, parser, ledger, cache, view: task and go have no place
+    assert {(r.file_id, r.score) for r in scope.keyword_matches(meta, words).collect()} == {(1, 85), (2, 52)}
+    few = spark.createDataFrame([("go", 0)], "word string, pos int")
+    assert scope.keyword_matches(meta, few).count() == 0
 
 
 def test_text_functions(spark):
@@ -176,7 +185,13 @@ def test_text_functions(spark):
     assert one(X.strip_thinking(t), t="a<think>x</think>b</think>c") == "ac" and one(X.strip_thinking(t), t="<think>open") == ""
     assert one(X.slug(t), t="  The C++ Way -- of  Life! ") == "the_c_way_of_life"
     assert one(X.include_line(t, F.lit("<a.h>")), t="#include <b.h>\nint x;") == "#include <b.h>\n#include <a.h>\nint x;"
-    assert one(X.undeclared_symbol(t), t="error: ‘malloc’ undeclared") == "malloc"
+    assert one(X.undeclared_symbols(t), t="error: 'malloc' undeclared; unknown type name 'size_t'") == ["malloc", "size_t"]
+    assert one(X.undeclared_symbols(t), t="use of undeclared identifier 'x', 'y' undeclared") == []
+    assert one(X.error_lines(t), t="a\nValueError: b\nfailed c\nTraceback\nd") == ["ValueError: b", "Traceback\nd"]
+    assert one(X.keywords(t), t="Fix the FooBar crash in src/a.py with über_x and café quickly") == ["fix", "crash", "src", "café", "quickly"]
+    assert one(X.task_type(t), t="add a test") == "feature" and one(X.task_type(t), t="Fix the new feature") == "bug_fix" and one(X.task_type(t), t="write unittest") == "test" and one(X.task_type(t), t="hello") == "unknown"
+    assert one(X.failure_category(t), t="x.c:1: error: 'a' expected") == "compile_error" and one(X.failure_category(t), t="1 failed, FAIL") == "test_failure" and one(X.failure_category(t), t="search text not found") == "patch_failure" and one(X.failure_category(t), t="fine") == "unknown"
+    assert one(X.failing_tests(t), t="FAIL a.test\nFAILED t.py::b - x\nFAILED t.py::c") == ["t.py::b", "t.py::c"] and one(X.failing_tests(t), t="FAIL a.test") == ["a.test"]
     assert one(X.fence_for(t), t="a ```` b") == "`````"
 
 
