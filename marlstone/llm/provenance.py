@@ -12,7 +12,7 @@ Near copies: equal word sequences are one class first; classes that share one of
 finds every pair over the bound (see `near_copies`). Texts of fewer than MIN_SHINGLES count where a library has the same words.
 
 Defined results: null and empty texts are judged by path and source alone; knowledge_base rows are never found; repeated
-rows are folded; null paths match no pattern. Other columns aren't read.
+rows are folded, and a file with several texts is found by any; null paths match no pattern. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.lexing import spans
-from marlstone.session import cut
+from marlstone.session import cut, spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
 LEAST_SIZE = 0.6
-BANDS, ROWS = 24, 5
 MIN_SHINGLES = 30
 LONG_LINE = 250
 
@@ -48,6 +47,7 @@ _STUB = re.compile(r"(?i)\b(?:method|function|constructor|class) stub\b")
 _VENDOR_DIR = r"(?:_?vendor(?:ed)?|node_modules|third[-_]?party|3rd[-_]?party|deps|extern(?:al)?s?|bower_components|site-packages|contrib|Pods)"
 _LITERAL_LINE = re.compile(r"^\s*[\[({]*\s*(?:(?:[rbufL]{0,2}\"[^\"]*\"|[rbuf]{0,2}'[^']*'|[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfFn]*|[\[\](){},:]|\s)+)[\])},;]*\s*$")
 
+_LITERAL_START = re.compile(r"\s*(?:[\[\](){},:\"'\d+-]|[rbufL]{1,2}[\"'])")
 
 # --- attribute files ---------------------------------------------------------------------------------------------------
 
@@ -131,7 +131,9 @@ def counts_upwards(lines: list[str]) -> bool:
     uses: dict[str, list[list[int]]] = {}
     for x in lines:
         nums = _NUMBER.findall(x)
-        uses.setdefault(_NUMBER.sub("#", x.strip()), []).append([-1 if len(n) > 9 else int(n, 16) if n[:2] in ("0x", "0X") else int(n) for n in nums])
+        own = _NUMBER.sub("#", x.strip()) if nums else x.strip()
+        # The last digits tell a step of one, however long a number is.
+        uses.setdefault(own, []).append([int(n[2:][-15:], 16) if n[:2] in ("0x", "0X") else int(n[-18:]) for n in nums])
     good = 0
     for rows in uses.values():
         if len(rows) >= 6 and rows[0]:
@@ -158,7 +160,7 @@ def is_minified(text: str) -> bool:
 
 def is_blob(lines: list[str]) -> bool:
     """A table of literals that is most of the file."""
-    own = [x for x in lines if len(x.strip()) > 4 and _LITERAL_LINE.match(x)]
+    own = [x for x in lines if _LITERAL_START.match(x) and len(x.strip()) > 4 and _LITERAL_LINE.match(x)]
     size = sum(len(x.strip()) for x in lines)
     return len(own) >= 15 and sum(len(x.strip()) for x in own) >= 0.5 * size or size > 0 and any(len(x) > LONG_LINE and _LITERAL_LINE.match(re.sub(r"^[\w\s*\[\].]*=\s*", "", x)) for x in lines) and sum(len(x) for x in lines if len(x) > LONG_LINE) > 0.6 * size
 
@@ -169,12 +171,24 @@ def line_template(line: str) -> str:
     return re.sub(r"(?i)\b(by|the|with|from|aus|von|par|por|przez)( the)? \w+(?= (?:step|command|tool|from|aus)\b|[.,;]| - |$)", r"\1\2 §", t)
 
 
+class _WordIds(dict):
+    """Numbers of words by their hash, remembered for the words seen last."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        n = self[word] = zlib.crc32(word.encode()) * 0x9E3779B97F4A7C15 % (1 << 64) | 1
+        return n
+
+
+_WORD_IDS = _WordIds()
+
+
 def _hashes(text: str) -> tuple[int, np.ndarray]:
     words = re.findall(r"\w+", text.lower())
     if not words:
         return 0, np.zeros(0, np.uint64)
-    known: dict[str, int] = {}
-    ids = np.array([known.get(w) or known.setdefault(w, zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 % (1 << 64) | 1) for w in words], np.uint64)
+    ids = np.fromiter(map(_WORD_IDS.__getitem__, words), np.uint64, len(words))
     m = max(1, len(ids) - SHINGLE + 1)
     with np.errstate(over="ignore"):
         h = np.zeros(m, np.uint64)
@@ -185,23 +199,14 @@ def _hashes(text: str) -> tuple[int, np.ndarray]:
     return whole, np.unique(h)
 
 
-_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
-
-
-def _bands(h: np.ndarray) -> list[int]:
-    """MinHash keys of a set of shingles; no query needs them, near copies are found exactly."""
-    with np.errstate(over="ignore"):
-        x = h[None, :] * _SEEDS[:, :1] + _SEEDS[:, 1:]
-        x ^= x >> np.uint64(31)
-        low = (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=1).reshape(BANDS, ROWS)
-        keys = (low * np.array([1, 0x100000001B3, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)).sum(axis=1, dtype=np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(58))
-    return keys.view(np.int64).tolist()
+_DIRECTIVES = ("#define", "#include", "#if", "#e", "#pragma", "#undef")
+_CREDIT = re.compile(r"(?i)copyright|\blicen[cs]e|\bupstream \w+ at\b|\b(?:copied|imported|taken|vendored|bundled) from\b")
 
 
 def features(files: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per file with text: the marks found in it, masked comment lines, word class and shingles."""
     rows = files.select(F.col("id").alias("file_id"), "repo_id", "path", "language", "file_source").where("file_source is null or file_source <> 'knowledge_base'").dropDuplicates(["file_id"])
-    own = texts.select("file_id", "content").where(F.length("content") > 0).dropDuplicates(["file_id"]).join(rows, "file_id")
+    own = spread(texts.select("file_id", "content")).where(F.length("content") > 0).join(rows, "file_id")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["file_id", "repo_id", "path", "library", "upwards", "banner", "minified", "blob", "lines", "credits", "cls", "shingles"]
@@ -210,9 +215,9 @@ def features(files: DataFrame, texts: DataFrame) -> DataFrame:
             for i, repo, path, lang, src, text in zip(b["file_id"], b["repo_id"], b["path"], b["language"], b["file_source"], b["content"]):
                 text = text.replace("\r\n", "\n")
                 notes = [x for sp in spans(lang, text) if sp.kind in ("line", "block", "doc") for x in sp.body.split("\n") if len(x.split()) >= 3]
-                code = [x for x in text.split("\n") if x.strip() and not re.match(r"\s*(?:#(?!define|include|if|e|pragma|undef)|//|/?\*)", x)]
+                code = [x for x in text.split("\n") if (y := x.lstrip()) and not (y.startswith(("//", "/*", "*")) or y[0] == "#" and not y.startswith(_DIRECTIVES))]
                 banner = any(BANNER.search(x) and not _STUB.search(x) for x in notes)
-                credits = sorted({w.lower() for x in notes if re.search(r"(?i)copyright|\blicen[cs]e|\bupstream \w+ at\b|\b(?:copied|imported|taken|vendored|bundled) from\b", x) for w in re.findall(r"[A-Za-z][\w-]+", x)})
+                credits = sorted({w.lower() for x in notes if _CREDIT.search(x) for w in re.findall(r"[A-Za-z][\w-]+", x)})
                 cls, h = _hashes(text)
                 big = len(h) >= MIN_SHINGLES
                 out.append((i, repo, path, src == "library", counts_upwards(code), banner, is_minified(text), is_blob(code), sorted({line_template(x) for x in notes}), credits, np.uint64(cls).astype(np.int64).item(), h.view(np.int64).tolist() if big else []))

@@ -254,7 +254,7 @@ def test_near_copies_find_all_close_pairs(spark):
             x = b.copy()
             x[: n] = rnd.integers(0, 1 << 60, n)
             sets.append(np.unique(x.astype(np.uint64)))
-    df = spark.createDataFrame([(k, [int(v) for v in s.view(np.int64)], provenance._bands(s)) for k, s in enumerate(sets)], "cls long, shingles array<long>, bands array<long>")
+    df = spark.createDataFrame([(k, [int(v) for v in s.view(np.int64)]) for k, s in enumerate(sets)], "cls long, shingles array<long>")
     links = {(r.one, r.two) for r in provenance.near_copies(df).collect()}
     root = list(range(len(sets)))
     for a, b in links:
@@ -268,7 +268,7 @@ def exact_links(sets):
 
 
 def near_links(spark, sets, **args):
-    df = spark.createDataFrame([(k, [int(v) for v in s.view(np.int64)], provenance._bands(s)) for k, s in enumerate(sets)], "cls long, shingles array<long>, bands array<long>")
+    df = spark.createDataFrame([(k, [int(v) for v in s.view(np.int64)]) for k, s in enumerate(sets)], "cls long, shingles array<long>")
     rows = [(r.one, r.two) for r in provenance.near_copies(df, **args).collect()]
     assert len(rows) == len(set(rows))
     return set(rows)
