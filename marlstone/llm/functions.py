@@ -6,8 +6,8 @@ the depth; openings and closings of one depth alternate, so that the next row of
 documentation comment belongs to the head that is the next row after it, a docstring to the head that is the row before.
 
 Defined results: null ids, null and empty texts and contents give no row; kinds count in any case with blanks around;
-repeated symbols, docstrings and texts are folded; a symbol without a signature takes the one of the head in the source at
-its file, name and line, else its name alone is known. Other columns aren't read.
+repeated symbols, docstrings and texts are folded; a symbol has the signature of the head that the windows found in
+the source at its file, name and line, else the one that its row gives, else its name alone is known. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.docwords import says_something
 from marlstone.llm.lexing import spans
+from marlstone.session import spread
 
 _PY_HEAD = re.compile(r"(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*(?:\[[^\]\n]*\])?\(")
 # Where a statement or member may start, and the heads that start there; functions by their keyword are found anywhere.
@@ -174,24 +175,25 @@ def brace_tokens(language: str, text: str) -> list[Token]:
 
 
 def tokens(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """(file_id, language, pos, line, kind, step, name, body): the lexed tokens of each source file as rows."""
+    """(file_id, language, key, pos, line, kind, step, name, body): the lexed tokens of each source file as rows."""
     lang = files.select(F.col("id").alias("file_id"), "language").where(F.col("language").isin("python", "javascript", "typescript", "c")).dropDuplicates(["file_id"])
-    own = texts.select("file_id", "content").where(F.length("content") > 0).dropDuplicates(["file_id"]).join(lang, "file_id")
+    # Each row of a text is lexed by itself, so that texts needn't be shuffled to fold repeats; equal results are folded at the end.
+    own = spread(texts.select("file_id", "content")).where(F.length("content") > 0).withColumn("key", F.monotonically_increasing_id()).join(lang, "file_id")
 
     def lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, l, text in zip(b["file_id"], b["language"], b["content"]):
+            for i, l, key, text in zip(b["file_id"], b["language"], b["key"], b["content"]):
                 for k, (_, line, kind, step, name, body) in enumerate(python_tokens(text) if l == "python" else brace_tokens(l, text)):
-                    out.append((i, l, k, line, kind, step, name, body))
-            yield pd.DataFrame(out, columns=["file_id", "language", "pos", "line", "kind", "step", "name", "body"])
+                    out.append((i, l, key, k, line, kind, step, name, body))
+            yield pd.DataFrame(out, columns=["file_id", "language", "key", "pos", "line", "kind", "step", "name", "body"])
 
-    return own.select("file_id", "language", "content").mapInPandas(lex, "file_id long, language string, pos int, line int, kind string, step int, name string, body string")
+    return own.select("file_id", "language", "key", "content").mapInPandas(lex, "file_id long, language string, key long, pos int, line int, kind string, step int, name string, body string")
 
 
 def extract(files: DataFrame, texts: DataFrame) -> DataFrame:
     """(file_id, name, start_line, end_line, signature, doc): every function with a body; doc is null where it has none."""
-    order = Window.partitionBy("file_id").orderBy("pos")
+    order = Window.partitionBy("file_id", "key").orderBy("pos")
     rows = tokens(files, texts).withColumns({
         "depth": F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)),
         "before": F.lag("kind").over(order), "doc_before": F.lag("body").over(order),
@@ -202,7 +204,7 @@ def extract(files: DataFrame, texts: DataFrame) -> DataFrame:
     level = F.when(F.col("kind") == "open", F.col("depth")).otherwise(F.col("depth") + 1)
     marks = rows.where(F.col("kind").isin("head", "open", "close")).withColumn("level", level)
     # Looking ahead is a running frame over the reverse order: linear, however many rows a level has.
-    ahead = Window.partitionBy("file_id", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("file_id", "key", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     ended = marks.withColumn("end_line", F.last(F.when(F.col("kind") == "close", F.col("line")), ignorenulls=True).over(ahead))
     doc = F.when(F.col("language") == "python", F.when((F.col("after") == "open") & (F.col("after2") == "doc"), F.col("doc_after2"))).otherwise(F.when(F.col("before") == "doc", F.col("doc_before")))
     return ended.where((F.col("kind") == "head") & F.col("end_line").isNotNull()).select("file_id", "name", F.col("line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("body").alias("signature"), doc.alias("doc"))
@@ -215,7 +217,7 @@ def _says(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def documented(files: DataFrame, texts: DataFrame) -> DataFrame:
     """(file_id, name, start_line, end_line, signature, content): functions of the sources with documentation that says something."""
-    rows = extract(files, texts).where("doc is not null").withColumnRenamed("doc", "content")
+    rows = extract(files, texts).where("doc is not null").withColumnRenamed("doc", "content").distinct()
     return rows.mapInPandas(_says, rows.schema)
 
 
@@ -224,7 +226,7 @@ def pairs(symbols: DataFrame, docstrings: DataFrame, files: DataFrame, texts: Da
     kind = F.lower(F.trim(F.regexp_replace("kind", r"\s+", " ")))
     own = symbols.where(kind.isin("function", "method") & F.col("id").isNotNull()).select(F.col("id").alias("symbol_id"), "file_id", "name", F.col("start_line").cast("long").alias("start_line"), F.nullif(F.trim("signature"), F.lit("")).alias("given")).dropDuplicates(["symbol_id"])
     heads = extract(files, texts).groupBy("file_id", "name", "start_line").agg(F.min("signature").alias("read"))
-    known = own.join(heads, ["file_id", "name", "start_line"], "left").select("symbol_id", "name", F.coalesce("given", "read").alias("signature"))
+    known = own.join(heads, ["file_id", "name", "start_line"], "left").select("symbol_id", "name", F.coalesce("read", "given").alias("signature"))
     docs = docstrings.where("symbol_id is not null and content is not null").select(F.col("id").alias("docstring_id"), F.col("symbol_id").cast("long").alias("symbol_id"), "content").distinct()
     rows = docs.join(known, "symbol_id").select("symbol_id", "docstring_id", "name", "signature", "content")
     return rows.mapInPandas(_says, rows.schema)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import langid
 from marlstone.llm.lexing import spans
+from marlstone.session import spread
 
 MIN_WORDS = 3
 MIN_CJK = 6
@@ -134,7 +135,7 @@ def _reads(text: str, lang: str, n: int) -> bool:
 def found_spans(files: DataFrame, texts: DataFrame, comments: DataFrame) -> DataFrame:
     """(file_id, line_no, lang, bytes, seen, part): the segments of prose; `seen` tells the spans of one line apart, `part` their segments."""
     lang = files.select(F.col("id").alias("file_id"), "language").where("language is not null").dropDuplicates(["file_id"])
-    own = texts.select("file_id", "content").where(F.length("content") > 0).dropDuplicates(["file_id"]).join(lang, "file_id")
+    own = spread(texts.select("file_id", "content")).where(F.length("content") > 0).join(lang, "file_id")
 
     def lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
