@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
@@ -61,6 +61,21 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return packed.where(F.col("pieces") > 1).select(F.col("id").alias("doc_id")).distinct()
 
 
+@query(
+    "p7_filled",
+    f"""WITH t AS (SELECT len(regexp_extract_all(coalesce(text, ''), '{_TOKEN_SQL}')) AS n FROM documents) SELECT count(*) AS texts, sum(n)::BIGINT AS tokens, sum(greatest(1, ceil(n / 1024)))::BIGINT AS pieces,
+    1024::BIGINT AS fullest, true AS within_a_thousandth FROM t""",
+)
+def p7_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token lies in one container, none is too full, and there are at most a thousandth (or one) more than the tokens need."""
+    packed = packing.pack(table(spark, sf, "documents"))
+    boxes = packed.where("tokens > 0").groupBy("container").agg(F.sum("tokens").alias("full"))
+    boxes = boxes.agg(F.max("full").alias("fullest"), F.count("*").alias("n"))
+    whole = packed.agg(F.sum(F.when(F.col("piece") == 0, 1)).alias("texts"), F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    need = F.ceil(F.col("tokens") / packing.CAPACITY)
+    return whole.crossJoin(boxes).select("texts", "tokens", "pieces", "fullest", (F.col("n") <= need + F.greatest(F.lit(1), F.ceil(need / 1000))).alias("within_a_thousandth"))
+
+
 @query("p7_containers")
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
@@ -77,6 +92,23 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.paragraphs(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"), "para_no")
 
 
+@query(
+    "p9_cover",
+    f"""WITH t AS (SELECT DISTINCT doc_id, len(regexp_extract_all(text, '{_TOKEN_SQL}')) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, n::BIGINT AS new_tokens, true AS ordered, true AS within_limit, true AS overlaps, n <= 256 AS whole FROM t WHERE n > 0""",
+)
+def p9_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of a text hold every token as new once and in order, keep the limit, and overlap by what they say."""
+    before = Window.partitionBy("id").orderBy("piece_no")
+    last = F.lag("end").over(before)
+    rows = splitting.split(table(spark, sf, "documents")).withColumns({"ok_order": last.isNull() | (F.col("end") > last), "ok_overlap": F.when(last.isNull(), F.col("shared") == 0).otherwise((F.col("shared") > 0) == (F.col("start") < last))})
+    per = rows.groupBy("id").agg(
+        F.sum(F.col("tokens") - F.col("shared")).alias("new_tokens"), F.bool_and("ok_order").alias("ordered"), F.bool_and((F.col("tokens") <= splitting.LIMIT) & (F.col("tokens") > F.col("shared"))).alias("within_limit"),
+        F.bool_and(F.col("ok_overlap") & F.col("shared").between(0, splitting.OVERLAP)).alias("overlaps"), (F.count("*") == 1).alias("whole"),
+    )
+    return per.withColumnRenamed("id", "doc_id")
+
+
 @query("p9_pieces")
 def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")

@@ -6,7 +6,7 @@ paragraph parts, and the first boundary of each kind. One summary row per range
 every range its token and paragraph offsets, and an open paragraph is joined across ranges. Where a piece ends depends on
 the piece before it, so pieces are cut by one worker that the ranges of a text pass in order, with the open tokens kept.
 
-A text of one range, nearly all of them, takes the same functions without the stitching shuffle.
+A text of one range, nearly all of them, takes the same functions in one worker, without the stitching shuffle.
 
 Defined results: null, empty and blank texts have no paragraph and no piece; a text under the limit is one piece; a text
 without any boundary is cut between tokens, a single token is never cut; repeated ids are kept apart only by equal rows
@@ -15,6 +15,7 @@ giving equal results, so repeated rows are folded. Other columns aren't read.
 
 from __future__ import annotations
 
+import io
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import TOKEN
+from marlstone.session import spread
 
 LIMIT = 256
 OVERLAP = 32
@@ -37,7 +39,7 @@ SENTENCE = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|(?<=[。！？；])|\n")
 def ranges(df: DataFrame, id_col: str, text_col: str, size: int = RANGE_CHARS) -> DataFrame:
     """(id, key, rng, of, at, text): the ranges of each text, by id and hash; `at` is where the range starts, its text has one character more before."""
     n = F.greatest(F.ceil(F.length("text") / size), F.lit(1)).cast("int")
-    own = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    own = spread(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))).where(F.length("text") > 0)
     rows = own.select("id", "key", "text", n.alias("of"), F.explode(F.sequence(F.lit(0), n - 1)).alias("rng"))
     at = (F.col("rng") * size).cast("long")
     part = F.when(F.col("of") == 1, F.col("text")).otherwise(F.substring("text", F.greatest(at, F.lit(1)).cast("int"), F.when(at == 0, size).otherwise(size + 1)))
@@ -154,12 +156,9 @@ def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
             for i, text in zip(b["id"], b["text"]):
                 if len(text) <= limit:  # a token has a character at least
                     continue
-                no = 0
-                for part in PARAGRAPH.split(text):
-                    if part and not part.isspace():
-                        no += 1
-                        if len(part) > limit and (n := len(TOKEN.findall(part))) > limit:
-                            ids.append(i), nos.append(no), ns.append(n)
+                for no, n in stitch([summary(text, "", limit)]):
+                    if n > limit:
+                        ids.append(i), nos.append(no), ns.append(n)
             yield pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype), "para_no": pd.Series(nos, dtype="int64"), "tokens": pd.Series(ns, dtype="int64")})
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,18 +274,26 @@ def split(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
 
 
 def file_ranges(spark, paths: list[str], range_bytes: int = 64 << 20) -> DataFrame:
-    """(path, rng, at, text): ranges of giant UTF-8 files in a shared folder, each worker reading only its bytes.
+    """(path, rng, at, text): ranges of giant UTF-8 files, by address in any shared file system, each worker reading only its bytes.
 
     A range starts after the first newline at or behind its offset and ends with the line that its last byte is in.
     """
-    import os
+    from pyarrow import fs
 
-    jobs = [(p, k, k * range_bytes) for p in paths for k in range(max(1, -(-os.path.getsize(p) // range_bytes)))]
+    def opened(path: str):
+        system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        return system, at
+
+    jobs = []
+    for p in paths:
+        system, at = opened(p)
+        jobs += [(p, k, k * range_bytes) for k in range(max(1, -(-(system.get_file_info(at).size or 0) // range_bytes)))]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, k, at in zip(b["path"], b["rng"], b["at"]):
-                with open(path, "rb") as f:
+                system, name = opened(path)
+                with io.BufferedReader(system.open_input_file(name), 1 << 20) as f:
                     if at:
                         f.seek(at - 1)
                         f.readline()
