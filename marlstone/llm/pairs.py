@@ -1,9 +1,10 @@
 """Broken prompt-response pairs.
 
-Distinct responses are range-sorted by text; a response that is a proper prefix of its successor is a shortened version,
-also across the borders of partitions. Completion lengths that are hit far more often than their neighbours are length
-limits. The last words of responses without an ending are looked up among the words of all responses: a word cut off in
-the middle occurs nowhere else. Then rules decide, in this order: empty, copy, refusal, wrong language, truncated.
+Distinct responses are range-sorted by text; a response that is a proper prefix of its successor, also across the borders
+of partitions, is a shortened version where the longer one goes on inside a sentence. Completion lengths that are hit far
+more often than their neighbours are length limits. The last words of lists without an ending are looked up among the words
+of all responses: a word cut off in the middle hardly occurs elsewhere. Then rules decide, in this order: empty, copy,
+refusal, wrong language, truncated.
 
 Defined results: a null or blank response is `empty`; a null prompt can't be copied and has no language; a null id is
 kept; repeated rows are folded; one row has one defect at most. Other columns aren't read.
@@ -20,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import langid
-from marlstone.session import cut
+from marlstone.session import cut, spread
 
-MIN_PREFIX = 24
+MIN_PREFIX = 24  # characters: "yes" is no shortened "yes, because"
 SPIKE = 8.0
 
 _THINK = re.compile(r"(?is)<(think|thinking|thought|reasoning)>.*?(?:</\1>|\Z)")
 _FENCE = re.compile(r"(?s)```[^\n`]*\n?(.*?)(?:```|\Z)|~~~[^\n~]*\n?(.*?)(?:~~~|\Z)")
-_QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|「[^」\n]{0,400}」|`[^`\n]{1,400}`")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|「[^」\n]*」|`[^`\n]+`")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 
 # How refusals are worded.
@@ -92,9 +93,13 @@ def _units(s: str) -> list[str]:
 
 
 def is_copy(prompt: str | None, response: str) -> bool:
-    """Nearly all of the response, in runs of words, stands in the prompt; answers of up to three words aren't judged."""
+    """Nearly all of the response, in runs of words, stands in the prompt, or all that follows a few words of introduction
+    and a colon; answers of up to three words aren't judged."""
     if not prompt:
         return False
+    led = re.match(r"\s*[^\n:：]{1,40}[:：]\s*(.+)", plain(response), re.S)
+    if led and len(_units(rest := _normal(led[1]))) >= 4 and f" {rest} " in f" {_normal(prompt)} ":
+        return True
     p, r = _normal(prompt), _normal(re.sub(r"```[\w+-]*", "", plain(response)))
     if not r or not p:
         return False
@@ -206,8 +211,14 @@ def _is_list(response: str) -> bool:
 _JOINERS = set("the a an and or of to in is are with that which before after until when than der die das und oder den dem le la les un une et de du des que el los las y o os as e и в на".split())
 
 
+def _goes_on(longer: str, n: int) -> bool:
+    """Whether a text goes on inside a sentence after n characters."""
+    before, after = longer[:n].rstrip(), longer[n:]
+    return bool(after.strip()) and not ("\n" in longer[len(before) : n] + after[: len(after) - len(after.lstrip())] or before[-1:] in ".!?。！？…" and (after[0].isspace() or before[-1] in "。！？" or n > len(before)))
+
+
 def shortened(responses: DataFrame) -> DataFrame:
-    """(response) of the distinct texts that are a proper prefix of another one, by comparing neighbours in text order."""
+    """(response, inside) of the distinct texts that are a proper prefix of another one, by comparing neighbours in text order; `inside` where the next one goes on inside a sentence."""
     parts = max(1, int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = responses.select("response").where(F.length("response") >= MIN_PREFIX).distinct()
     placed = cut(rows.repartitionByRange(parts, "response").sortWithinPartitions("response").withColumn("part", F.spark_partition_id()))
@@ -224,13 +235,13 @@ def shortened(responses: DataFrame) -> DataFrame:
                 if last is not None:
                     nxt = text if p == part else after.get(part, "")
                     if nxt.startswith(last):
-                        out.append(last)
+                        out.append((last, _goes_on(nxt, len(last))))
                 last, part = text, p
-            yield pd.DataFrame({"response": out}, dtype=object)
+            yield pd.DataFrame(out, columns=["response", "inside"])
         if last is not None and after.get(part, "").startswith(last):
-            yield pd.DataFrame({"response": [last]}, dtype=object)
+            yield pd.DataFrame([(last, _goes_on(after[part], len(last)))], columns=["response", "inside"])
 
-    return placed.sortWithinPartitions("part", "response").mapInPandas(neighbours, "response string")
+    return placed.sortWithinPartitions("part", "response").mapInPandas(neighbours, "response string, inside boolean")
 
 
 def length_limits(calls: DataFrame) -> DataFrame:
@@ -264,22 +275,23 @@ def defects(calls: DataFrame, id_col: str = "id") -> DataFrame:
                 open_ = d is None and not ends_well(r)
                 word = tail_word(r) if open_ else None
                 sure = open_ and (word is None or not _is_list(r) or word in _JOINERS or plain(r).count("```") % 2 == 1)
-                if d or open_:
-                    out.append((i, d, open_, sure, word, r, n))
+                out.append((i, d, open_, sure, word, r if d is None else None, n))
             yield pd.DataFrame(out, columns=["id", "defect", "open", "sure", "word", "response", "completion_tokens"])
 
-    judged = cut(rows.mapInPandas(rules, f"id {kind}, defect string, open boolean, sure boolean, word string, response string, completion_tokens double"))
+    judged = cut(spread(rows).mapInPandas(rules, f"id {kind}, defect string, open boolean, sure boolean, word string, response string, completion_tokens double"))
     closed = judged.where("defect is not null").select("id", "defect")
     open_ = judged.where("defect is null and open")
     sure = open_.where("sure").select("id")
     maybe = open_.where("not sure")
-    words = maybe.select("word").distinct()
+    ending = maybe.groupBy("word").agg(F.countDistinct("response").alias("m"))
     seen = calls.select("response").distinct().select(F.explode(F.split(F.lower("response"), r"[^\p{L}]+")).alias("word"))
-    known = seen.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3").join(words, "word", "left_semi")
+    # A word is whole where less than half of its uses end such lists.
+    known = seen.join(ending, "word").groupBy("word").agg(F.count("*").alias("n"), F.max("m").alias("m")).where("m < 0.5 * n").select("word")
     cut_word = maybe.join(known, "word", "left_anti").select("id")
-    short = maybe.join(shortened(calls), "response", "left_semi").select("id")
+    short = judged.where("defect is null").join(shortened(calls).where("inside"), "response", "left_semi").select("id")
     limits = length_limits(calls).withColumn("completion_tokens", F.col("completion_tokens").cast("double"))
     # At a limit, an item list whose other items are longer than the last one by far is taken as stopped.
-    at_limit = maybe.join(limits, "completion_tokens", "left_semi").where(F.length(F.element_at(F.split(F.rtrim("response"), "\n"), -1)) < 14).select("id")
+    last_line = F.element_at(F.split(F.regexp_replace("response", r"\s+$", ""), "\n"), -1)
+    at_limit = maybe.join(limits, "completion_tokens", "left_semi").where(F.length(last_line) < 14).select("id")
     truncated = sure.unionByName(cut_word).unionByName(short).unionByName(at_limit).withColumn("defect", F.lit("truncated"))
     return closed.unionByName(truncated).distinct()

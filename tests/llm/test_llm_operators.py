@@ -342,6 +342,17 @@ def test_length_limits(spark):
     assert [r.completion_tokens for r in pairs.length_limits(calls(spark, rows)).collect()] == [512]
 
 
+def test_copies_behind_an_introduction():
+    prompt = "File: a.py\nWhat happens to the cache when it is full?"
+    assert pairs.is_copy(prompt, "You asked: What happens to the cache when it is full?") and pairs.is_copy("x\n为什么这里要清空结果?", "You asked: 为什么这里要清空结果?")
+    assert not pairs.is_copy(prompt, "Answer: it drops the oldest entry") and not pairs.is_copy(prompt, "What happens to the cache when it is full?\n\nOur chunk used to drop every old stage, which made the reader slow.")
+
+
+@pytest.mark.parametrize("longer,n,ok", [("We keep the lock. Then we go on.", 17, False), ("We keep the lock. Then we go on.", 11, True), ("a list\nof lines", 6, False), ("version 3.5 of it", 10, True), ("先に読みます。次に書きます。", 7, False), ("same", 4, False)])
+def test_a_shortened_text_ends_inside_a_sentence(longer, n, ok):
+    assert pairs._goes_on(longer, n) is ok
+
+
 # --- 6
 
 def test_pairs_equal_brute_force(spark):
