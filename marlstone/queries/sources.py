@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.catalog import table
-from marlstone.operators.resolve import normal_path, python_candidates, python_relative_base, resolve_imports
+from marlstone.operators.resolve import js_candidates, normal_path, python_candidates, python_relative_base, resolve_imports
 from marlstone.plans import solve
 from marlstone.queries.index import FILES, files
 from marlstone.registry import query
-from marlstone.sources.code import parse_python
+from marlstone.sources.code import parse, parse_python
 
 
 def python_rows(s, d):
@@ -29,16 +29,64 @@ def tx1r(s, d):
     return r.where("what = 'reference'").select("id", "name", F.col("parent").alias("caller"), F.col("kind").alias("reference_kind")).distinct().join(once, ["id", "name"], "left_semi")
 
 
-@query("j6_import_edges")
-def j6(s, d):
-    imports = python_rows(s, d).where("what = 'import'")
-    f = files(s, d)
-    i = imports.join(f.select(F.col("file_id").alias("id"), "repo_id", "path"), "id")
+def script_rows(s, d):
+    """Rows of all JavaScript and TypeScript sources."""
+    out = None
+    for language in ("javascript", "typescript"):
+        own = files(s, d).where(F.col("language") == language).select("file_id").distinct()
+        rows = parse(table(s, d, "source_texts").join(own, "file_id", "left_semi").distinct(), language, "file_id", "content")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("tx2_script_symbols")
+def tx2(s, d):
+    return script_rows(s, d).where("what = 'symbol'").select(F.col("id").alias("file_id"), "name", "kind", "start_line", "end_line", "parent", F.col("text").alias("signature"))
+
+
+@query("tx2_script_documentation")
+def tx2d(s, d):
+    return script_rows(s, d).where("what = 'docstring'").select(F.col("id").alias("file_id"), "name", "kind", "parent", F.col("text").alias("content"))
+
+
+_IMPORTED = r"""SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '(?m)^import [^;\n]*from ["\x27]([^"\x27\n]+)["\x27]', 1)) AS module FROM source_texts WHERE file_id IN (SELECT id FROM files WHERE language IN ('javascript', 'typescript'))"""
+
+
+@query("tx3_script_imports", _IMPORTED)
+def tx3(s, d):
+    return script_rows(s, d).where("what = 'import'").select(F.col("id").alias("file_id"), F.col("name").alias("module")).distinct()
+
+
+def import_edges(s, d):
+    """(src, dst, kind): the files that imports of python, JavaScript and TypeScript mean."""
+    f = files(s, d).select("file_id", "repo_id", "path").distinct()
+    of = f.select(F.col("file_id").alias("id"), "repo_id", "path")
+    rows = python_rows(s, d).where("what = 'import'").join(of, "id")
     base = python_relative_base(F.col("path"), F.col("level"))
     absolute = python_candidates(F.col("name"), F.col("names"))
-    relative = F.transform(python_candidates(F.col("name"), F.col("names")), lambda c: normal_path(F.concat_ws("/", base, c)))
-    rows = i.select(F.col("id").alias("src"), "repo_id", F.lit(False).alias("type_only"), F.when(F.col("kind") == "relative", relative).otherwise(absolute).alias("candidates"))
-    return resolve_imports(rows, f)
+    relative = F.transform(absolute, lambda c: normal_path(F.concat_ws("/", base, c)))
+    python = rows.select(F.col("id").alias("src"), "repo_id", F.lit(False).alias("type_only"), F.when(F.col("kind") == "relative", relative).otherwise(absolute).alias("candidates"))
+    own = script_rows(s, d).where("what = 'import' and kind like 'relative%'").join(of, "id")
+    script = own.select(F.col("id").alias("src"), "repo_id", F.endswith("kind", F.lit(" type")).alias("type_only"), js_candidates(F.col("name"), F.col("path")).alias("candidates"))
+    return resolve_imports(python.unionByName(script), f)
+
+
+_SCRIPT_ENDINGS = "['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/index.mjs', '/index.cjs']"
+
+
+@query(
+    "j6_script_edges",
+    rf"""WITH f AS (SELECT DISTINCT id AS file_id, repo_id, path FROM files), m AS ({_IMPORTED}), b AS (SELECT f.file_id AS src, repo_id, regexp_replace(path, '[^/]*$', '') || regexp_replace(module, '^\./', '') AS base FROM m JOIN f USING (file_id) WHERE starts_with(module, './')
+    UNION ALL SELECT f.file_id, repo_id, regexp_replace(path, '[^/]*/[^/]*$', '') || regexp_replace(module, '^\.\./', '') FROM m JOIN f USING (file_id) WHERE starts_with(module, '../') AND NOT starts_with(module, '../../')),
+    c AS (SELECT src, repo_id, unnest({_SCRIPT_ENDINGS}) AS e, base FROM b) SELECT src, f.file_id AS dst, 'import' AS kind FROM c JOIN f ON f.repo_id = c.repo_id AND f.path = c.base || c.e""",
+)
+def j6s(s, d):
+    return import_edges(s, d).join(files(s, d).where("language in ('javascript', 'typescript')").select(F.col("file_id").alias("src")).distinct(), "src", "left_semi")
+
+
+@query("j6_import_edges")
+def j6(s, d):
+    return import_edges(s, d)
 
 
 @query("sc5_imported_packages")

@@ -165,11 +165,12 @@ def docs_only(pairs: DataFrame, before: str, after: str) -> DataFrame:
     return pairs.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", docs_only boolean")
 
 
-PARSERS = {"python": parse_python}
-
-
 def parse(texts: DataFrame, language: str, id_col: str, text: str) -> DataFrame:
     """Dispatch by language; one without a parser has files but no symbols."""
-    if language not in PARSERS:
-        raise ValueError(f"no parser for {language}")
-    return PARSERS[language](texts, id_col, text)
+    from marlstone.sources.script import parse_script
+
+    if language == "python":
+        return parse_python(texts, id_col, text)
+    if language in ("javascript", "typescript"):
+        return parse_script(texts, id_col, text, language)
+    raise ValueError(f"no parser for {language}")
