@@ -171,7 +171,19 @@ def tx9t(s, d):
     return documents.headed_sections(table(s, d, "documents"), "doc_id", "text").drop("content")
 
 
-@query("tx12_section_metadata")
+def _metadata_sql() -> str:
+    """Counts of each domain's words in a section's head; the first of the greatest counts is the domain."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    hits = {k: " + ".join(f"contains(h, {quote(w)})::INT" for w in ws) for k, ws in documents.DOMAINS.items()}
+    best = f"greatest({', '.join(hits.values())})"
+    domain = "CASE WHEN " + best + " = 0 THEN NULL " + " ".join(f"WHEN {n} = {best} THEN '{k}'" for k, n in hits.items()) + " END"
+    words = ", ".join(quote(w) for ws in documents.DOMAINS.values() for w in ws)
+    return rf"""WITH t AS (SELECT doc_id, text, lower(concat_ws(' ', split_part(text, chr(10), 1), left(text, 500))) AS h FROM documents)
+        SELECT doc_id AS id, {domain} AS domain, list_sort(list_distinct(list_filter([{words}], lambda w: contains(h, w)))) AS concepts, list_sort(list_distinct(regexp_extract_all(text, '<\w+\.h>'))) AS headers,
+        nullif(upper(regexp_extract(left(text, 2000), '(?i)\b(c(?:89|90|99|11|17|23))\b', 1)), '') AS c_standard FROM t"""
+
+
+@query("tx12_section_metadata", _metadata_sql())
 def tx12(s, d):
     return documents.section_metadata(table(s, d, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text"), "doc_id", "title", "text")
 

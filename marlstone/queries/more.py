@@ -249,7 +249,10 @@ def tx7(s, d):
     return documents.book_sections(table(s, d, "documents"), "doc_id", "text")
 
 
-@query("tx13_clean_sections")
+_PAGE_MARKS = r"^\s*\d{1,4}\s*$|^\s*\d+\s+[A-Z][A-Z ]+(?:CHAPTER|SECTION)\b|^\s*(?:CHAPTER|SECTION)\b.*\d+\s*$"
+
+
+@query("tx13_clean_sections", rf"SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(string_split_regex(text, '\r?\n'), lambda x: NOT regexp_matches(x, '{_PAGE_MARKS}')), chr(10)), '\n(?:[ \t]*\n){{2,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM documents")
 def tx13(s, d):
     return table(s, d, "documents").select("doc_id", documents.clean_section(F.col("text")).alias("text"))
 
@@ -261,10 +264,18 @@ def tx16(s, d):
     return n.groupBy("repo_id").agg(F.array_join(text, ", ").alias("brief"))
 
 
-@query("tx10_html_sections")
+_HEADED = r"(?m)^(#{1,6}) ([^\n\r&<]+?)[ \t\r]*$"
+
+
+@query("tx10_html_sections", rf"""WITH h AS (SELECT DISTINCT doc_id, regexp_extract_all(text, '{_HEADED}', 1) AS marks, regexp_extract_all(text, '{_HEADED}', 2) AS titles FROM documents WHERE regexp_matches(text, '{_HEADED}'))
+    SELECT * FROM (SELECT doc_id AS id, length(unnest(marks)) AS level, trim(regexp_replace(unnest(titles), '\s+', ' ', 'g')) AS title FROM h) WHERE level <= 3""")
 def tx10(s, d):
-    html = table(s, d, "source_texts").where(F.contains(F.lower("content"), F.lit("<html")))
-    return documents.html_sections(html, "file_id", "content")
+    """The headed documents as HTML pages, as they would be published: each heading a tag, the rest in preformatted text."""
+    rows = table(s, d, "documents").where(F.col("text").rlike("(?d)" + _HEADED)).select("doc_id", F.regexp_replace("text", "[&<>]", " ").alias("text")).distinct()
+    for k in range(1, 7):
+        rows = rows.withColumn("text", F.regexp_replace("text", rf"(?dm)^#{{{k}}} ([^\n\r&<]+?)[ \t\r]*$", f"</pre><h{k}>$1</h{k}><pre>"))
+    pages = documents.html_sections(rows.withColumn("text", F.concat(F.lit("<html><body><pre>"), "text", F.lit("</pre></body></html>"))), "doc_id", "text")
+    return pages.where("title <> ''").select("id", "level", "title")
 
 
 @query("ud7_error_class", f"SELECT id, CASE WHEN regexp_matches(response, '(?i)undeclared') THEN 'missing_include' WHEN starts_with(lower(response), 'yes') THEN 'signature' ELSE 'logic_error' END AS class FROM ({_CALLS}) WHERE response IS NOT NULL")

@@ -89,7 +89,7 @@ def j6(s, d):
     return import_edges(s, d)
 
 
-@query("sc5_imported_packages")
+@query("sc5_imported_packages", r"SELECT DISTINCT unnest(regexp_extract_all(content, '(?m)^(?:import|from) ([A-Za-z_]\w*)[\w.]*(?: import .*|[ \t]*,.*|[ \t]+as .*|[ \t]*\r?)$', 1)) AS package FROM source_texts WHERE file_id IN (SELECT id FROM files WHERE language = 'python')")
 def sc5(s, d):
     from marlstone.sources.scan import imported_packages
 

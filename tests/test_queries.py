@@ -7,6 +7,9 @@ from marlstone import registry
 
 registry.load()
 
+#: The given tables hold no book, no list of rules and too few files for an import between them; tests/test_operators.py has such texts.
+NO_ROWS = {"tx7_book_sections", "tx8_rule_list", "j6_import_edges"}
+
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -18,8 +21,8 @@ def test_query(spark, con, sf, name):
     if name in registry.ORACLE:
         same(spark, con, sf, registry.QUERIES[name], registry.ORACLE[name])
     else:
-        df = registry.QUERIES[name](spark, sf)
-        assert df.columns and df.count() >= 0
+        # Those without SQL are compared with literals or by brute force elsewhere; here each must give rows.
+        assert (registry.QUERIES[name](spark, sf).count() > 0) is (name not in NO_ROWS)
 
 
 def test_entry(spark):
