@@ -16,10 +16,9 @@ _KEYWORDS = _TYPE_WORDS - {"bool"} | _QUALIFIERS | (_STORAGE - {"noreturn", "con
 _BINARY = {"||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "<<": 8, ">>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
 _ASSIGN = frozenset("= += -= *= /= %= <<= >>= &= ^= |=".split())
 
+_SKIP = re.compile(r"(?:[ \t\v\f\r\n]+|//(?:\\\r?\n|[^\n])*|/\*.*?\*/)+", re.S)
 _LEX = re.compile(
-    r"""(?P<ws>[ \t\v\f\r\n]+)
-    |(?P<com>//(?:\\\r?\n|[^\n])*|/\*.*?\*/)
-    |(?P<num>(?:0[xX](?:[\da-fA-F](?:'?[\da-fA-F])*\.?[\da-fA-F]*|\.[\da-fA-F]+)(?:[pP][+-]?\d+)?|0[bB][01](?:'?[01])*|(?:\d(?:'?\d)*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[uUlLfFzZ]*)
+    r"""(?P<num>(?:0[xX](?:[\da-fA-F](?:'?[\da-fA-F])*\.?[\da-fA-F]*|\.[\da-fA-F]+)(?:[pP][+-]?\d+)?|0[bB][01](?:'?[01])*|(?:\d(?:'?\d)*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[uUlLfFzZ]*)
     |(?P<str>(?:u8|[uUL])?"(?:[^"\\\n]|\\(?:\r\n|.))*")
     |(?P<chr>(?:u8|[uUL])?'(?:[^'\\\n]|\\(?:\r\n|.))+')
     |(?P<id>[^\W\d]\w*)
@@ -33,20 +32,22 @@ Tok = tuple[str, str, int]  # kind, value, place
 
 def lex(text: str, base: int = 0) -> list[Tok]:
     out: list[Tok] = []
-    at, n, match = 0, len(text), _LEX.match
+    at, n, match, skip = 0, len(text), _LEX.match, _SKIP.match
     while at < n:
+        c = text[at]
+        if (c <= " " or c == "/") and (m := skip(text, at)):
+            at = m.end()
+            continue
         m = match(text, at)
         if m is None:
             raise Invalid(f"character {text[at]!r} at {base + at}")
         kind, v, end = m.lastgroup, m.group(), m.end()
-        if kind not in ("ws", "com"):
-            if kind == "num":
-                if end < n and (text[end].isalnum() or text[end] == "_") or re.match(r"0\d*[89]", v) and not re.search(r"[.eEfF]", v):
-                    raise Invalid(f"number at {base + at}")
-            if v in ("[[", "]]"):
-                out += [("p", v[0], base + at), ("p", v[0], base + at + 1)]
-            else:
-                out.append((kind, v, base + at))
+        if kind == "num" and (end < n and (text[end].isalnum() or text[end] == "_") or re.match(r"0\d*[89]", v) and not re.search(r"[.eEfF]", v)):
+            raise Invalid(f"number at {base + at}")
+        if v in ("[[", "]]"):
+            out += [("p", v[0], base + at), ("p", v[0], base + at + 1)]
+        else:
+            out.append((kind, v, base + at))
         at = end
     return out
 

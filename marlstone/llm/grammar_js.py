@@ -19,10 +19,9 @@ _BEFORE_REGEX = frozenset("return typeof instanceof in of new delete void throw
 _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
 _ASSIGN = frozenset("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split())
 
+_SKIP = re.compile(r"(?:[ \t\v\f\r\n\u00a0\ufeff\u2028\u2029\u1680\u2000-\u200a\u202f\u205f\u3000]+|//[^\n\r\u2028\u2029]*|/\*.*?\*/)+", re.S)
 _LEX = re.compile(
-    r"""(?P<ws>[ \t\v\f\r\n\u00a0\ufeff\u2028\u2029\u1680\u2000-\u200a\u202f\u205f\u3000]+)
-    |(?P<com>//[^\n\r\u2028\u2029]*|/\*.*?\*/)
-    |(?P<num>(?:0[xX][\da-fA-F](?:_?[\da-fA-F])*|0[oO][0-7](?:_?[0-7])*|0[bB][01](?:_?[01])*)n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)
+    r"""(?P<num>(?:0[xX][\da-fA-F](?:_?[\da-fA-F])*|0[oO][0-7](?:_?[0-7])*|0[bB][01](?:_?[01])*)n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?)
     |(?P<id>\#?(?:[^\W\d]|[$_\u200c\u200d]|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})*)
     |(?P<str>"(?:[^"\\\n\r]|\\(?:\r\n|.))*"|'(?:[^'\\\n\r]|\\(?:\r\n|.))*')
     |(?P<tick>`)
@@ -48,48 +47,48 @@ def tokenize(text: str, at: int = 0, inner: bool = False) -> tuple[list[Tok], in
     nl, n, stack = False, len(text), []
     if not at and text.startswith("#!"):
         at = (text + "\n").index("\n")
-    match, match_regex = _LEX.match, _REGEX.match
+    match, match_regex, skip = _LEX.match, _REGEX.match, _SKIP.match
     while at < n:
+        c = text[at]
+        if (c <= " " or c == "/" or c > "\x7f") and (m := skip(text, at)):
+            v, at = m.group(), m.end()
+            nl = nl or "\n" in v or "\r" in v or "\u2028" in v
+            continue
         m = match(text, at)
         if m is None:
-            raise Invalid(f"character {text[at]!r} at {at}")
+            raise Invalid(f"character {c!r} at {at}")
         kind, v, end = m.lastgroup, m.group(), m.end()
-        if kind == "ws":
-            nl = nl or "\n" in v or "\r" in v or "\u2028" in v
-        elif kind == "com":
-            nl = nl or v[1] == "*" and "\n" in v
-        else:
-            parts = None
-            if kind == "num":
-                if end < n and (text[end].isalnum() or text[end] in "_$"):
-                    raise Invalid(f"number at {at}")
-            elif kind == "str":
-                if "\\" in v and _BAD_ESCAPE.search(v.replace("\\\\", "")):
-                    raise Invalid(f"escape at {at}")
-            elif kind == "tick":
-                parts, end = _template(text, at)
-                kind = "tmpl"
-            elif v in "/" or v == "/=":
-                last = out[-1] if out else None
-                if last is None or (last.kind == "p" and last.v not in (")", "]", "}", "++", "--")) or (last.kind == "id" and last.v in _BEFORE_REGEX) or (last.v == "}" and nl):
-                    r = match_regex(text, at)
-                    if r:
-                        if re.search(r"[^dgimsuvy]|(.).*\1", r[1]):
-                            raise Invalid(f"flags at {at}")
-                        kind, v, end = "re", r.group(), r.end()
-            if kind == "p":
-                if v in _OPEN:
-                    stack.append(v)
-                elif v in _CLOSE:
-                    if not stack:
-                        if inner and v == "}":
-                            out.append(Tok("eof", "", nl, at, at))
-                            return out, end
-                        raise Invalid(f"{v} at {at}")
-                    if stack.pop() != _CLOSE[v]:
-                        raise Invalid(f"{v} at {at}")
-            out.append(Tok(kind, v, nl, at, end, parts))
-            nl = False
+        parts = None
+        if kind == "num":
+            if end < n and (text[end].isalnum() or text[end] in "_$"):
+                raise Invalid(f"number at {at}")
+        elif kind == "str":
+            if "\\" in v and _BAD_ESCAPE.search(v.replace("\\\\", "")):
+                raise Invalid(f"escape at {at}")
+        elif kind == "tick":
+            parts, end = _template(text, at)
+            kind = "tmpl"
+        elif v in "/" or v == "/=":
+            last = out[-1] if out else None
+            if last is None or (last.kind == "p" and last.v not in (")", "]", "}", "++", "--")) or (last.kind == "id" and last.v in _BEFORE_REGEX) or (last.v == "}" and nl):
+                r = match_regex(text, at)
+                if r:
+                    if re.search(r"[^dgimsuvy]|(.).*\1", r[1]):
+                        raise Invalid(f"flags at {at}")
+                    kind, v, end = "re", r.group(), r.end()
+        if kind == "p":
+            if v in _OPEN:
+                stack.append(v)
+            elif v in _CLOSE:
+                if not stack:
+                    if inner and v == "}":
+                        out.append(Tok("eof", "", nl, at, at))
+                        return out, end
+                    raise Invalid(f"{v} at {at}")
+                if stack.pop() != _CLOSE[v]:
+                    raise Invalid(f"{v} at {at}")
+        out.append(Tok(kind, v, nl, at, end, parts))
+        nl = False
         at = end
     if stack or inner:
         raise Invalid("open at the end")

@@ -42,10 +42,12 @@ GROUP = 64  # chunks that one worker folds and walks
 _OPENERS, _PAIR = "([{", {")": "(", "]": "[", "}": "{"}
 # The states in which a line may start, by language.
 STATES = {"python": ("N", "'''", '"""', "'", '"'), "javascript": ("N", "/*", "`", "'", '"'), "typescript": ("N", "/*", "`", "'", '"'), "c": ("N", "/*", "'", '"', "//")}
+_IN = r"[^()\[\]{}\"'`#/\\\n]*"
+_FLAT = rf"\({_IN}\)|\[{_IN}\]|\{{{_IN}\}}|"  # brackets that close on their line with nothing inside that matters
 _SCAN = {
-    "python": re.compile(r"#[^\n]*|(?:\"\"\"|''')|[\"'()\[\]{}]|\\."  , re.S),
-    "javascript": re.compile(r"//[^\n]*|/\*|[\"'`()\[\]{}]|(?:(?<=[=(,:\[!&|?{};\n])|(?<=[=(,:\[!&|?{};] )|(?<=return ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"),
-    "c": re.compile(r"//|/\*|^[ \t]*#(?:\\\r?\n|[^\n])*|[\"'()\[\]{}]", re.M),
+    "python": re.compile(_FLAT + r"#[^\n]*|(?:\"\"\"|''')|[\"'()\[\]{}]|\\."  , re.S),
+    "javascript": re.compile(_FLAT + r"//[^\n]*|/\*|[\"'`()\[\]{}]|(?:(?<=[=(,:\[!&|?{};\n])|(?<=[=(,:\[!&|?{};] )|(?<=return ))/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"),
+    "c": re.compile(_FLAT + r"//|/\*|^[ \t]*#(?:\\\r?\n|[^\n])*|[\"'()\[\]{}]", re.M),
 }
 _SCAN["typescript"] = _SCAN["javascript"]
 _ENDS = {
@@ -61,7 +63,7 @@ def scan(language: str, text: str, state: str, places: list[tuple[int, int, int]
     closed, open_, facts, at, n = [], [], [], 0, len(text)
     pattern = _SCAN[language]
     lines = [m.end() for m in re.finditer("\n", text)] if places is not None else []
-    mark = 0
+    mark, many = 0, len(lines)
     done = lambda: (state, "".join(closed), "".join(open_), "".join(facts))
 
     def note(upto: int, code: bool) -> None:
@@ -107,8 +109,11 @@ def scan(language: str, text: str, state: str, places: list[tuple[int, int, int]
             note(n, True)
             at = n
             break
-        note(m.start(), True)
+        if mark < many and lines[mark] <= m.start():
+            note(m.start(), True)
         v, at = m.group(), m.end()
+        if len(v) > 1 and v[0] in _OPENERS:
+            continue
         if v in ("'''", '"""', "/*", "'", '"') or v == "//" and language == "c":
             state = v
         elif v == "`":
