@@ -51,19 +51,19 @@ def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([code], pa.int64()), pa.array([count], pa.int64())], ["code", "k"])
 
 
-def baskets(df: DataFrame, group: str, key: str, items: Column, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(group, key, items): one row per basket with 1 to `max_items` distinct items."""
+def baskets(df: DataFrame, group: str, key: str, items: Column, max_items: int | None = MAX_ITEMS) -> DataFrame:
+    """(group, key, items): one row per basket with 1 to `max_items` distinct items, without a bound where it is None."""
     own = F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))
     return (
         df.select(F.col(group).alias("grp"), F.col(key).alias("bkey"), F.coalesce(own, F.array().cast("array<string>")).alias("own"))
         .where(F.col("grp").isNotNull() & F.col("bkey").isNotNull())
         .groupBy("grp", "bkey")
         .agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("items"))  # equal rows fold before the shuffle
-        .where(F.size("items").between(1, max_items))
+        .where(F.size("items").between(1, max_items) if max_items else F.size("items") > 0)
     )
 
 
-def pair_counts(df: DataFrame, group: str, key: str, items: Column, max_items: int = MAX_ITEMS, min_together: int = MIN_TOGETHER, min_lift: int | None = MIN_LIFT) -> DataFrame:
+def pair_counts(df: DataFrame, group: str, key: str, items: Column, max_items: int | None = MAX_ITEMS, min_together: int = MIN_TOGETHER, min_lift: int | None = MIN_LIFT) -> DataFrame:
     """(grp, item_a, item_b, k, a, b, n, lift, odds_ratio), item_a < item_b in byte order.
 
     k baskets hold both, a and b hold the one and the other, n is the group's baskets. Kept are k >= min_together and
@@ -76,7 +76,8 @@ def pair_counts(df: DataFrame, group: str, key: str, items: Column, max_items: i
     single = rows.groupBy("grp", "item").agg(F.count("*").alias("a")).where(F.col("a") >= min_together).join(sizes, "grp")
     if min_lift:
         single = single.where(min_lift * F.col("a") <= F.col("n"))
-    names = cut(numbered(single, "grp", "item"))
+    fits = F.when(F.col("num") < 1 << 31, F.col("num")).otherwise(F.raise_error(F.lit("more items than a code's half can number")))
+    names = cut(numbered(single, "grp", "item").withColumn("num", fits.cast("long")))
     coded = rows.join(names.select("grp", "item", "num"), ["grp", "item"]).groupBy("grp", "bkey").agg(F.sort_array(F.collect_list("num")).alias("nums")).where(F.size("nums") > 1)
     both = F.expr("flatten(transform(nums, (x, i) -> transform(slice(nums, i + 2, size(nums)), y -> shiftleft(x, 32) | y)))")
     codes = coded.select(F.explode(both).alias("code"), F.lit(1).cast("long").alias("k"))
