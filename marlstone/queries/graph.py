@@ -73,6 +73,9 @@ def g5(s, d):
     plan = f.where("file_id % 100 = 0").select("file_id")
     seeds = symbols(s, d).where(F.lower("name").contains("merge")).select("file_id").distinct().join(f.select("file_id"), "file_id", "left_semi")
     words = s.createDataFrame([(w, k) for k, w in enumerate(_WORDS)], "word string, pos int")
+    # Only commits that hold a file of the base can hold a pair with one: no other commit's pairs are made.
+    near = tracked.join(plan.unionByName(seeds), "file_id", "left_semi").select("commit_id").distinct()
+    tracked = tracked.join(near, "commit_id", "left_semi")
     return scope.expand_scope(plan, seeds, edges(s, d), co_changes(tracked, "commit_id", "file_id"), f.select("file_id", F.col("path").alias("concepts")), words)
 
 
