@@ -18,21 +18,23 @@ def symbols(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "symbols").withColumn("kind", F.lower(F.trim("kind"))).distinct()
 
 
-def commits(s: SparkSession, d: str) -> DataFrame:
-    """One row per (repo_id, hash): the least id."""
+def commits(s: SparkSession, d: str, *only: str) -> DataFrame:
+    """One row per (repo_id, hash): the least id; of the other columns those named, else all."""
     c = table(s, d, "commits")
-    return c.groupBy("repo_id", "hash").agg(F.min_by(F.struct(*[x for x in c.columns if x not in ("repo_id", "hash")]), "id").alias("r")).select("repo_id", "hash", "r.*")
+    # The fold keeps a row as one struct, out of which no optimizer takes columns that aren't needed.
+    kept = [x for x in c.columns if x not in ("repo_id", "hash") and (not only or x in only)]
+    return c.groupBy("repo_id", "hash").agg(F.min_by(F.struct(*kept), "id").alias("r")).select("repo_id", "hash", "r.*")
 
 
 def commit_files(s: SparkSession, d: str) -> DataFrame:
     """Distinct (commit_id, repo_id, path) with normalised paths."""
     path = F.regexp_replace(F.translate("p", "\\", "/"), r"^(\./)+", "")
-    return commits(s, d).select(F.col("id").alias("commit_id"), "repo_id", "authored_at", F.explode("changed_files").alias("p")).select("commit_id", "repo_id", "authored_at", path.alias("path")).where("path <> ''").distinct()
+    return commits(s, d, "id", "authored_at", "changed_files").select(F.col("id").alias("commit_id"), "repo_id", "authored_at", F.explode("changed_files").alias("p")).select("commit_id", "repo_id", "authored_at", path.alias("path")).where("path <> ''").distinct()
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
     """A directed graph of files: the first path of a commit depends on the second; parallel edges stay."""
-    c = commits(s, d).select("id", "repo_id", F.transform("changed_files", lambda p: F.regexp_replace(F.translate(p, "\\", "/"), r"^(\./)+", "")).alias("p")).where("size(p) >= 2")
+    c = commits(s, d, "id", "changed_files").select("id", "repo_id", F.transform("changed_files", lambda p: F.regexp_replace(F.translate(p, "\\", "/"), r"^(\./)+", "")).alias("p")).where("size(p) >= 2")
     f = files(s, d).select("repo_id", "path", "file_id").groupBy("repo_id", "path").agg(F.min("file_id").alias("fid"))
     e = c.select("id", "repo_id", F.element_at("p", 1).alias("pa"), F.element_at("p", 2).alias("pb"))
     return e.join(f.select("repo_id", F.col("path").alias("pa"), F.col("fid").alias("src")), ["repo_id", "pa"]).join(f.select("repo_id", F.col("path").alias("pb"), F.col("fid").alias("dst")), ["repo_id", "pb"]).select("id", "src", "dst", F.when(F.col("id") % 3 == 0, "type_ref").otherwise("import").alias("kind"))
