@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bits of the indices to a block of `coverage`.
+BLOCK = 16
+
 
 def sum_or_null(c: Column) -> Column:
     """The sum, NULL where any value is NULL, 0 for no rows."""
@@ -35,9 +38,24 @@ def incomplete_groups(members: DataFrame, present: DataFrame, group: str, item:
 
 
 def coverage(n: int, picks: DataFrame, col: str) -> DataFrame:
-    """(idx, times) of what is wrong with picks that should hold every index of 0..n-1 once."""
-    per = picks.groupBy(F.col(col).cast("long").alias("idx")).agg(F.count("*").alias("times"))
-    return picks.sparkSession.range(n).withColumnRenamed("id", "idx").join(per, "idx", "full_outer").select("idx", F.coalesce("times", F.lit(0)).alias("times")).where("times <> 1 or idx < 0 or idx >= " + str(n))
+    """(idx, times) of what is wrong with picks that should hold every index of 0..n-1 once.
+
+    The indices themselves are never shuffled, only the picks and one mark a block: each of these rows unrolls the indices that
+    are missing between it and the next one of its block, at most 2**BLOCK.
+    """
+    spark, blocks = picks.sparkSession, max(0, n + (1 << BLOCK) - 1) >> BLOCK
+    per = picks.groupBy(F.col(col).cast("long").alias("idx")).agg(F.count("*").alias("times")).select(F.shiftright("idx", BLOCK).alias("block"), "idx", "times")
+    marks = spark.range(blocks).select(F.col("id").alias("block"), (F.shiftleft("id", BLOCK) - 1).alias("idx"), F.lit(None).cast("long").alias("times"))
+    # A fixed number of parts: by the bytes shuffled, adaptive execution would join all that is to be unrolled into one task.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks >> 9)
+    stop = F.lead("idx").over(Window.partitionBy("block").orderBy("idx"))
+    ends = per.unionByName(marks).repartition(parts, "block").withColumn("stop", F.least(F.coalesce(stop, F.shiftleft(F.col("block") + 1, BLOCK)), F.lit(n)))
+    mark, within = F.col("times").isNull(), F.coalesce(F.col("idx").between(0, n - 1), F.lit(False))
+    missing = F.when(mark | within, F.struct((F.col("idx") + 1).alias("lo"), (F.col("stop") - 1).alias("hi"), F.lit(0).cast("long").alias("times")))
+    wrong = F.when(~mark & (~within | (F.col("times") != 1)), F.struct(F.col("idx").alias("lo"), F.col("idx").alias("hi"), "times"))
+    spans = ends.select(F.explode(F.array(missing, wrong)).alias("r")).where("r is not null and (r.lo is null or r.lo <= r.hi)")
+    # The outer form keeps the row of picks without an index.
+    return spans.select(F.explode_outer(F.sequence("r.lo", "r.hi")).alias("idx"), F.col("r.times").alias("times"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_old_where_null: bool = True) -> DataFrame:

@@ -230,7 +230,7 @@ def a18(s, d):
 @query("a19_coverage", "WITH p AS (SELECT id, count(*) AS times FROM files GROUP BY 1), r AS (SELECT CAST(range AS BIGINT) AS idx FROM range((SELECT CAST(max(id) AS BIGINT) + 1 FROM files))) SELECT coalesce(idx, id) AS idx, coalesce(times, 0) AS times FROM r FULL JOIN p ON idx = id WHERE coalesce(times, 0) <> 1 OR idx IS NULL")
 def a19(s, d):
     f = table(s, d, "files")
-    return rows.coverage(f.agg(F.max("id")).first()[0] + 1, f, "id")
+    return rows.coverage(f.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0] + 1, f, "id")
 
 
 @query("a20_fan_in", f"WITH {EDGES}, seed AS (SELECT file_id FROM f WHERE file_source = 'project' AND language = 'c') SELECT dst AS file_id, count(DISTINCT src) AS score FROM e WHERE src IN (SELECT file_id FROM seed) AND dst NOT IN (SELECT file_id FROM seed) GROUP BY 1")

@@ -1,6 +1,7 @@
 """Operators against plain python on small inputs."""
 
 import random
+import re
 from itertools import combinations
 
 import pytest
@@ -128,6 +129,35 @@ def test_coverage_and_groups(spark):
     assert {r.g for r in rows.incomplete_groups(m, spark.createDataFrame([(1,), (3,)], "f long"), "g", "f").collect()} == {"g"}
 
 
+def test_coverage_across_blocks(spark):
+    n, held = 300_000, [0, 65534, 65535, 65537, 65537, 131072, 199_999, 299_999, -1, -70_000, -70_000, 300_000, 900_000, 2**63 - 1, None]
+    df = rows.coverage(n, spark.createDataFrame([(x,) for x in held], "i long"), "i")
+    want = {(x, held.count(x)) for x in range(n) if held.count(x) != 1} | {(x, held.count(x)) for x in held if x is None or not 0 <= x < n}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert [str(f.dataType) for f in df.schema] == ["LongType()", "LongType()"]
+
+
+def test_coverage_shuffles_no_range(spark):
+    # What is generated before the shuffle is a mark a block, not every index.
+    far = rows.coverage(10**9, spark.createDataFrame([(5,), (10**9 - 1,)], "i long"), "i")
+    ranges = [int(x) for x in re.findall(r"Range \(0, (\d+)", far._jdf.queryExecution().optimizedPlan().toString())]
+    assert sum(ranges) < 10**5
+
+
+@pytest.mark.parametrize("ids", [[], [None], [2, None, 4, 4, -3], [-2, -2, -1]])
+def test_coverage_query_equals_sql(spark, tmp_path, ids):
+    from oracle import connect, same
+
+    from marlstone import registry
+
+    registry.load()
+    spark.createDataFrame([(x,) for x in ids], "id long").coalesce(1).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "sf").mkdir()
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "sf" / "files.parquet")
+    same(spark, connect(tmp_path / "sf"), str(tmp_path / "sf"), registry.QUERIES["a19_coverage"], registry.ORACLE["a19_coverage"])
+
+
 def test_search_needs_a_filter(spark):
     f = spark.createDataFrame([(1, "p")], "file_id long, path string")
     m = spark.createDataFrame([(1, "d", "m", "50%_Off")], "file_id long, domain string, module string, concepts string")
